@@ -1,0 +1,4 @@
+"""All queries by name, and SQL for those that SQL can express."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
