@@ -1,10 +1,15 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from foliant.llm import exact_dedup, positional_index
+from foliant.llm import bag_minhash, exact_dedup, packing, positional_index, substring_dedup, toxicity, warc
 
 MODULES = {
+    "op1_warc_normaliser": warc,
+    "op2_toxicity": toxicity,
     "op3_exact_dedup": exact_dedup,
+    "op5_best_fit_packing": packing,
+    "op7_substring_dedup": substring_dedup,
     "op8_positional_decontamination": positional_index,
+    "op10_bag_minhash": bag_minhash,
 }
 
 QUERIES = {name: module.query for name, module in MODULES.items()}
