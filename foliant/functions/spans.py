@@ -56,3 +56,7 @@ def joined(array: Column) -> Column:
 
 def of_kind(array: Column, kind: str, order: int) -> Column:
     return F.transform(array, lambda x: F.struct(F.lit(order).alias("order"), F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+
+def number_of(array: str, kind: str) -> Column:
+    return F.size(F.filter(array, lambda x: x["kind"] == kind)).cast("bigint")
