@@ -1,14 +1,17 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from foliant.llm import bag_minhash, exact_dedup, packing, positional_index, substring_dedup, toxicity, warc
+from foliant.llm import bag_minhash, exact_dedup, main_text, packing, pii, positional_index, secret_scan, substring_dedup, toxicity, warc
 
 MODULES = {
     "op1_warc_normaliser": warc,
     "op2_toxicity": toxicity,
     "op3_exact_dedup": exact_dedup,
+    "op4_contextual_pii": pii,
     "op5_best_fit_packing": packing,
+    "op6_secret_scan": secret_scan,
     "op7_substring_dedup": substring_dedup,
     "op8_positional_decontamination": positional_index,
+    "op9_main_text": main_text,
     "op10_bag_minhash": bag_minhash,
 }
 
