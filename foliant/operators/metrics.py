@@ -31,7 +31,7 @@ def agreement(df: DataFrame, score: str = "score", gold: str = "gold") -> DataFr
     return ranked.agg(
         F.count("*").alias("n"), F.avg(error).alias("mae"), F.percentile(error, 0.5).alias("median_ae"), F.avg((ours == theirs).cast("int")).alias("exact_band"),
         F.avg((F.abs(band_rank(ours) - band_rank(theirs)) <= 1).cast("int")).alias("within_one_band"), share(theirs.isin("POOR", "BROKEN"), F.col(score) >= 70).alias("false_high"),
-        share(theirs.isin("GOOD", "EXCELLENT"), F.col(score) < 40).alias("false_low"), F.coalesce(F.nanvl(F.corr("_a", "_b"), F.lit(0.0)), F.lit(0.0)).alias("spearman"),
+        share(theirs.isin("GOOD", "EXCELLENT"), F.col(score) < 40).alias("false_low"), F.coalesce(F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")), F.lit(0.0)).alias("spearman"),
     )
 
 

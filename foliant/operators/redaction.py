@@ -45,7 +45,7 @@ def redact_path(path: Column, root: str = "") -> Column:
 def sanitize_answer(text: Column) -> Column:
     """An answer that cannot inject headings, markup, code or dangerous links into a document."""
     clean = chain(
-        F.coalesce(text, F.lit("")), (r"(?m)^#{1,6}\s+", ""), (r"<[^>]*>", ""), (r"(?<!\\)`", r"\\\\`"), (r"(?i)\[([^\]]*)\]\((?:javascript|data):(?:[^()]|\([^()]*\))*\)", "[$1]"),
+        F.coalesce(text, F.lit("")), (r"(?m)^#{1,6}\s+", ""), (r"<[^>]*>", ""), (r"(?<!\\)`", r"\\`"), (r"(?i)\[([^\]]*)\]\((?:javascript|data):(?:[^()]|\([^()]*\))*\)", "[$1]"),
         (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), (r"\n{3,}", "\n\n"), (r"^\s+|\s+\z", ""),
     )
     return F.when(F.length(clean) > MAX_ANSWER, F.concat(F.left(clean, F.lit(MAX_ANSWER)), F.lit("…"))).otherwise(clean)

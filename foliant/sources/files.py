@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from foliant.functions.text import strip
 
@@ -32,7 +33,7 @@ def stable_id(path: Column) -> Column:
     return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def yaml_as_json(column: pd.Series) -> pd.Series:
     """Front matter as a JSON object; null where it is no YAML. Only the part of YAML that front matter uses is known."""
     return column.map(lambda text: None if text is None else parsed(text))
