@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from foliant.plans import catalog
 
-HEADLINE = ("hygiene_by_language", "hygiene_secret", "hygiene_pii", "hygiene_analysis", "route_documents", "detect_language", "text_primitives", "collections_list", "exact_duplicates", "normalised_duplicates", "vector_top_k", "embed_documents", "lexical_search", "agreement_metrics", "strip_secrets", "conservative_cleanup", "latest_events", "upsert")
+HEADLINE = ("hygiene_by_language", "hygiene_secret", "hygiene_pii", "hygiene_analysis", "quality_scores", "route_documents", "detect_language", "text_primitives", "collections_list", "exact_duplicates", "normalised_duplicates", "vector_top_k", "embed_documents", "lexical_search", "agreement_metrics", "strip_secrets", "conservative_cleanup", "latest_events", "upsert")
 
 
 def main() -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import collections as C
-from foliant.operators import constraints, hygiene, metrics, redaction, retrieval, rewrite, router
+from foliant.operators import constraints, hygiene, metrics, quality, redaction, retrieval, rewrite, router
 from foliant.sources import files
 from foliant.streaming import watch
 
@@ -92,6 +92,12 @@ def route_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return router.routed(decorated(spark, sf_dir)).select("doc_id", "content_kind", "prompt_type", "language", F.round("route_confidence", 6).alias("confidence"))
 
 
+@query("quality_scores")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.evaluated(decorated(spark, sf_dir))
+    return found.select("doc_id", "content_kind", "prompt_type", "overall_score", F.array_join("missing_sections", ",").alias("missing"), *(F.get("dimensions", F.lit(i))["score"].alias(d.lower()) for i, d in enumerate(quality.DIMENSIONS)))
+
+
 def _stopword_sum(words: tuple[str, ...]) -> str:
     return " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in words)
 
