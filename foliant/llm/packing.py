@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.bytewords import U, words
+from foliant.llm.bytewords import U, Words, words
 from foliant.llm.shared import read, slices, stored
 
 CAPACITY = 4096
@@ -33,9 +33,47 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Bytes of the words that pieces() leaves whole: an apostrophe may begin a contraction, < a special token, and beyond ASCII only
+#: the letters of Latin 1 (0xC3 and a second byte) are known to be letters.
+WHOLE = np.zeros(256, bool)
+WHOLE[[0x27, 0x3C, *range(0xC0, 0xC3), *range(0xC4, 0x100)]] = True
+
+
+def pieces(texts: pa.Array) -> Words:
+    """Words between white space, cut further between letters and other characters where the tokeniser cuts too, in lower case there.
+
+    It never joins characters across these cuts, so each distinct piece needs encoding once: a word with other stops after it or in
+    capitals is not a new one."""
+    w = words(texts)
+    if not len(w.start):
+        return w
+    buf, n = w.buf, len(w.buf)
+    second = np.zeros(n, bool)
+    second[1:] = buf[:-1] == 0xC3
+    odd = WHOLE[buf] | (second & ((buf == 0x97) | (buf == 0xB7)))  # the signs among the letters
+    at = np.zeros(n + 1, np.int64)
+    np.cumsum(odd, out=at[1:])
+    open_ = at[w.end] == at[w.start]
+    mark = np.zeros(n + 1, np.int8)
+    mark[w.start[open_]] += 1  # no two words share a start, or an end
+    mark[w.end[open_]] -= 1
+    inside = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
+    low = np.where(inside & (((buf >= 0x41) & (buf <= 0x5A)) | (second & (buf >= 0x80) & (buf <= 0x9E))), buf + np.uint8(0x20), buf)
+    letter = LETTER[buf]
+    cut = np.zeros(n, bool)
+    cut[1:] = inside[1:] & inside[:-1] & (letter[1:] != letter[:-1])
+    cut[w.start] = True
+    start = np.flatnonzero(cut)
+    last = np.searchsorted(w.start, start, side="right") - 1
+    end = np.minimum(np.r_[start[1:], n], w.end[last])
+    return Words(low, w.text_at, start, end, np.searchsorted(start, w.text_at))
+
+
 @dataclass
 class WordTokens:
-    """Ids of words by the word's hash. The tokeniser never joins characters across white space, so each distinct word needs encoding once."""
+    """Ids of pieces by the piece's hash."""
 
     path: str
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
@@ -58,7 +96,7 @@ class WordTokens:
 
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with END_OF_TEXT after it, and where each text begins."""
-        w = words(texts)
+        w = pieces(texts)
         distinct, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
         place, known = self.look_up(distinct)
         new = np.flatnonzero(~known)
