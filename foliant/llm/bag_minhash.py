@@ -29,14 +29,15 @@ SHINGLE, SIMILAR = 5, 0.8
 MASK = (1 << 64) - 1
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-#: Registers that two signatures must share for their texts to be compared in the last round: 3.9 standard deviations below SIMILAR.
-LIKELY = 0.64
+#: Registers of the longer signatures that the last round estimates similarity with, and the share of them that two must have in
+#: common for their texts to be compared: 3.9 standard deviations below SIMILAR.
+WIDE, LIKELY = 256, 0.7025
 #: Most texts of each side of a block.
 BLOCK = 1024
 #: Leaders that a text is compared with in a round, those first with which it shares most keys.
 LEADERS = 3
 #: Rounds with leaders before the last round.
-ROUNDS = 2
+ROUNDS = 3
 
 
 def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +127,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def bags(docs: DataFrame, k: int) -> DataFrame:
-    """id, the shingles' hashes in order and their counts as bytes, and 16 bits of each register."""
+    """id, the shingles' hashes in order and their counts as bytes, and 16 bits of each register of a short and of a longer signature."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for own in slices(batch, "text"):
@@ -134,10 +135,10 @@ def bags(docs: DataFrame, k: int) -> DataFrame:
             at = np.searchsorted(text, np.arange(len(own) + 1))
             value_bytes, count_bytes = memoryview(value.tobytes()), memoryview(count.astype(np.uint32).tobytes())
             cut = lambda data, width: [bytes(data[width * a : width * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            registers = [x.tobytes() for x in short(signatures(text, value, count, len(own)))]
-            yield pa.RecordBatch.from_pydict({"id": own.column("id"), "hashes": cut(value_bytes, 8), "counts": cut(count_bytes, 4), "registers": registers})
+            registers = [[x.tobytes() for x in short(signatures(text, value, count, len(own), m))] for m in (REGISTERS, WIDE)]
+            yield pa.RecordBatch.from_pydict({"id": own.column("id"), "hashes": cut(value_bytes, 8), "counts": cut(count_bytes, 4), "registers": registers[0], "wide": registers[1]})
 
-    return by_arrow(docs, run, "id bigint, hashes binary, counts binary, registers binary")
+    return by_arrow(docs, run, "id bigint, hashes binary, counts binary, registers binary, wide binary")
 
 
 def overlap(a: bytes, a_count: bytes, b: bytes, b_count: bytes) -> float:
@@ -190,8 +191,8 @@ def blocks(keyed: DataFrame, part: DataFrame | None, bag: DataFrame) -> DataFram
     band = inside.groupBy("key").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main")).where("most < total")
     number = lambda n: F.ceil(n / BLOCK).cast("int")
     band = band.select(F.struct("key").alias("at"), "main", number(F.col("total")).alias("ts"), number(F.col("total") - F.col("most")).alias("qs"))
-    rows = keyed.withColumn("at", F.struct("key")).join(band, "at").join(bag.select("id", "registers"), "id")
-    columns = ["key", "band", "id", "size", "component", "registers", (F.col("component") == F.col("main")).alias("is_main")]
+    rows = keyed.withColumn("at", F.struct("key")).join(band, "at").join(bag.select("id", "registers", "wide"), "id")
+    columns = ["key", "band", "id", "size", "component", "registers", "wide", (F.col("component") == F.col("main")).alias("is_main")]
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     targets = rows.select(*columns, F.lit(False).alias("query"), own("ts").alias("t"), each("qs").alias("q"))
@@ -206,7 +207,7 @@ def likely(units: DataFrame, similar: float) -> DataFrame:
     def compare(rows: pa.Table) -> list[tuple[int, int]]:
         query = rows.column("query").to_numpy(zero_copy_only=False)
         ids, size, part, main = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "size", "component", "is_main"))
-        regs = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
+        regs, wide = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint16).reshape(len(ids), -1) for c in ("registers", "wide"))
         band, q, t = rows.column("band")[0].as_py(), np.flatnonzero(query), np.flatnonzero(~query)
         out = []
         for a in range(0, len(q), 64):
@@ -214,9 +215,8 @@ def likely(units: DataFrame, similar: float) -> DataFrame:
             ok = (part[x][:, None] != part[t]) & (main[t] | (ids[t] < ids[x][:, None])) & (np.minimum(size[x][:, None], size[t]) >= similar * np.maximum(size[x][:, None], size[t]))
             i, j = np.nonzero(ok)
             i, j = x[i], t[j]
-            same = regs[i] == regs[j]
-            good = same.sum(axis=1) >= LIKELY * REGISTERS
-            good[good] = same[good].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            good = np.concatenate([(wide[i[b : b + 8192]] == wide[j[b : b + 8192]]).sum(axis=1) for b in range(0, len(i), 8192)] or [np.zeros(0)]) >= LIKELY * WIDE
+            good[good] = (regs[i[good]] == regs[j[good]]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
             out += zip(ids[i[good]].tolist(), ids[j[good]].tolist(), strict=True)
         return out
 
