@@ -114,12 +114,21 @@ def words(texts: pa.Array, inside: np.ndarray = NOT_WHITE, lower: bool = False)
     return Words(buf, at, start, end, np.searchsorted(start, at))
 
 
+class Runs:
+    """Hashes of runs begin:end of word hashes; equal runs have equal hashes wherever they stand. Sums are made once."""
+
+    def __init__(self, word: np.ndarray) -> None:
+        n = len(word)
+        self.sums = np.zeros(n + 1, U)
+        np.cumsum(word * powers(WORD_STEP, max(n, 1))[:n], out=self.sums[1:])
+        self.back = powers(WORD_BACK, n + 1)
+
+    def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[begin]) * self.back[begin] + (end - begin).astype(U))
+
+
 def run_hashes(word: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each run begin:end of word hashes; equal runs have equal hashes wherever they stand."""
-    n = len(word)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(word * powers(WORD_STEP, max(n, 1))[:n], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * powers(WORD_BACK, n + 1)[begin] + (end - begin).astype(U))
+    return Runs(word)(begin, end)
 
 
 def grams(w: Words, word: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.bytewords import U, Words, mix, run_hashes, signed, words
+from foliant.llm.bytewords import Runs, U, Words, mix, signed, words
 from foliant.llm.shared import by_arrow, read, slices, stored
 
 WINDOW, ANCHOR = 13, 5
@@ -37,6 +37,7 @@ class Seeds:
         self.words: Words = words(texts)
         self.word = self.words.hashes()
         self.window = window
+        self.runs = Runs(self.word)
         w = self.words
         n = np.maximum(w.count - window + 1, 0)
         begin = np.repeat(w.first[:-1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -45,7 +46,7 @@ class Seeds:
             self.anchor = self.span = np.zeros(0, U)
             return
         run = np.arange(len(self.word) - k + 1)
-        hashes = run_hashes(self.word, run, run + k)
+        hashes = self.runs(run, run + k)
         least, at = hashes[begin], begin.copy()
         for o in range(1, window - k + 1):
             here = hashes[begin + o]
@@ -56,7 +57,7 @@ class Seeds:
         at = at[first]
         self.low, self.high = begin[first], begin[np.r_[first[1:], len(begin)] - 1]
         self.anchor = least[first]
-        self.span = mix(run_hashes(self.word, self.low, self.high + window) + (at - self.low).astype(U) * U(0x9E3779B97F4A7C15))
+        self.span = mix(self.runs(self.low, self.high + window) + (at - self.low).astype(U) * U(0x9E3779B97F4A7C15))
         self.text = np.searchsorted(w.first, at, side="right") - 1
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,17 +103,24 @@ def anchor_summary(rows: DataFrame, window: int, k: int) -> DataFrame:
 
 
 def tasks(rows: DataFrame, shared: DataFrame, window: int, k: int) -> DataFrame:
-    """A row for each document that shares an anchor: what to do at which anchors."""
+    """A row for each document that shares an anchor: what to do at which of its spans.
+
+    A span that an earlier document has as it is goes. Of spans that differ at their anchor, only the first document offers its windows and,
+    unless it is the anchor's first, looks them up."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for own in slices(batch, "text"):
             s = Seeds(own.column("text"), window, k)
-            pair = np.unique(np.c_[s.text, signed(s.anchor)], axis=0) if len(s.text) else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_pydict({"doc": ids(own.column("id"))[pair[:, 0]], "anchor": pair[:, 1]})
+            pair = np.unique(np.c_[s.text, signed(s.anchor), signed(s.span)], axis=0) if len(s.text) else np.zeros((0, 3), np.int64)
+            yield pa.RecordBatch.from_pydict({"doc": ids(own.column("id"))[pair[:, 0]], "anchor": pair[:, 1], "span": pair[:, 2]})
 
-    todo = F.when(F.col("uniform"), F.when(F.col("doc") > F.col("lo"), REMOVE)).when(F.col("doc") > F.col("lo"), LOOK_UP).otherwise(OFFER)
-    met = by_arrow(rows, run, "doc bigint, anchor bigint").join(shared, "anchor").select("doc", "anchor", todo.alias("todo")).where("todo is not null")
-    return met.groupBy("doc").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("todo").alias("todos"))
+    met = stored(by_arrow(rows, run, "doc bigint, anchor bigint, span bigint").join(shared, "anchor").where("doc > lo or not uniform"), "met")
+    same = met.where("uniform").select("doc", "span", F.lit(REMOVE).alias("todo"))
+    mixed = met.where("not uniform").withColumn("at", F.struct("anchor", "span"))
+    first = mixed.groupBy("anchor", "span").agg(F.min("doc").alias("first")).select(F.struct("anchor", "span").alias("at"), "first")
+    todo = F.when(F.col("doc") > F.col("first"), REMOVE).when(F.col("doc") > F.col("lo"), LOOK_UP).otherwise(OFFER)
+    every = same.unionByName(mixed.join(first, "at").select("doc", "span", todo.alias("todo")))
+    return every.groupBy("doc").agg(F.collect_list("span").alias("spans"), F.collect_list("todo").alias("todos"))
 
 
 STATE = "doc_id bigint, doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, text string, covered array<int>, offered array<int>, h1 array<bigint>, h2 array<bigint>"
@@ -126,18 +134,19 @@ def extended(rows: DataFrame, todo: DataFrame, window: int, k: int) -> DataFrame
             s = Seeds(own.column("text"), window, k)
             doc, texts = ids(own.column("id")), own.column("text").to_pylist()
             at = np.searchsorted(s.text, np.arange(len(own) + 1))
+            other_runs = Runs(mix(s.word ^ U(0x5851F42D4C957F2D)))
             out: dict[str, list] = {c.split()[0]: [] for c in STATE.split(", ")}
             for i in range(len(own)):
                 covered, offered, h1, h2, look = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), [], [], False
-                if own.column("anchors")[i].is_valid:
-                    listed = own.column("anchors")[i].values.to_numpy()
+                if own.column("spans")[i].is_valid:
+                    listed = own.column("spans")[i].values.to_numpy()
                     what = own.column("todos")[i].values.to_numpy()
                     order = np.argsort(listed)
                     listed, what = listed[order], what[order]
                     mine = np.arange(at[i], at[i + 1])
-                    anchor = signed(s.anchor[mine])
-                    place = np.minimum(np.searchsorted(listed, anchor), len(listed) - 1)
-                    act = np.where(listed[place] == anchor, what[place], 0)
+                    span = signed(s.span[mine])
+                    place = np.minimum(np.searchsorted(listed, span), len(listed) - 1)
+                    act = np.where(listed[place] == span, what[place], 0)
                     first = s.words.first[i]
                     gone = mine[act == REMOVE]
                     covered = np.c_[s.low[gone] - first, s.high[gone] + window - first]
@@ -145,8 +154,7 @@ def extended(rows: DataFrame, todo: DataFrame, window: int, k: int) -> DataFrame
                     if len(other):
                         look = bool((act == LOOK_UP).any())
                         _, begin = s.windows(other)
-                        h1 = signed(run_hashes(s.word, begin, begin + window)).tolist()
-                        h2 = signed(run_hashes(mix(s.word ^ U(0x5851F42D4C957F2D)), begin, begin + window)).tolist()
+                        h1, h2 = (signed(r(begin, begin + window)).tolist() for r in (s.runs, other_runs))
                         offered = begin - first
                 n, removed, digest = (int(s.words.count[i]), None, None) if look else kept(texts[i], covered.tolist())
                 for c, v in zip(out, (own.column("id")[i].as_py(), int(doc[i]), n, removed, digest, texts[i] if look else None, covered.ravel().tolist(), offered.tolist(), h1, h2), strict=True):
@@ -155,7 +163,7 @@ def extended(rows: DataFrame, todo: DataFrame, window: int, k: int) -> DataFrame
             yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()})
 
     met = rows.join(todo, F.coalesce(rows["id"], F.lit(int(LAST))) == todo["doc"], "left")
-    return by_arrow(met.select("id", "text", "anchors", "todos"), run, STATE)
+    return by_arrow(met.select("id", "text", "spans", "todos"), run, STATE)
 
 
 def finished(state: DataFrame, starts: DataFrame, window: int) -> DataFrame:
