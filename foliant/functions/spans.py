@@ -27,26 +27,29 @@ def before(lengths: Column) -> Column:
     return F.when(F.size(lengths) > 0, F.flatten(inside)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
-def spans(found: str, between: str, sums: str) -> Column:
-    """Structs of start, end (exclusive), the hit, the gap before it and the gap after it."""
+def spans(found: Column) -> Column:
+    """Structs of start, end (exclusive), the hit, the gap before it and the gap after it, of a struct of hits, gaps and the sums before()."""
 
     def one(m: Column, i: Column) -> Column:
-        start = F.get(F.col(sums), i) + F.length(F.get(F.col(between), i))
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("hit"), F.get(F.col(between), i).alias("left"), F.get(F.col(between), i + 1).alias("right"))
+        start = F.get(found["sums"], i) + F.length(F.get(found["gaps"], i))
+        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("hit"), F.get(found["gaps"], i).alias("left"), F.get(found["gaps"], i + 1).alias("right"))
 
-    return F.transform(F.col(found), one)
+    return F.transform(found["hits"], one)
 
 
 def with_all_spans(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
     """df with a column of spans() for each name: pattern and gate. A gate is implied by every hit; where it isn't true there are none.
-    Few wide projections, one for each step, so that the plan stays small for many patterns."""
-    part = lambda name, what: f"{name}__{what}"
-    texts, ints = F.expr("cast(array() as array<string>)"), lambda n: F.zip_with(F.col(part(n, "hits")), F.slice(F.col(part(n, "gaps")), 1, F.size(part(n, "hits"))), lambda m, g: F.length(m) + F.length(g))
-    df = df.withColumns({part(n, "hits"): F.when(gate, hits(F.col(text), p)).otherwise(texts) for n, (p, gate) in patterns.items()})
-    df = df.withColumns({part(n, "gaps"): F.when(F.size(part(n, "hits")) > 0, gaps(F.col(text), p)).otherwise(texts) for n, (p, _) in patterns.items()})
-    df = df.withColumns({part(n, "sums"): before(ints(n)) for n in patterns})
-    df = df.withColumns({n: spans(*(part(n, x) for x in ("hits", "gaps", "sums"))) for n in patterns})
-    return df.drop(*(part(n, x) for n in patterns for x in ("hits", "gaps", "sums")))
+
+    The patterns' hits become one array, so that the expressions which place them stand in the plan once, however many patterns there are."""
+    names, texts = list(patterns), F.expr("cast(array() as array<string>)")
+    hits_of = {n: f"{n}__hits" for n in names}
+    df = df.withColumns({hits_of[n]: F.when(gate, hits(F.col(text), p)).otherwise(texts) for n, (p, gate) in patterns.items()})
+    both = (F.struct(F.col(hits_of[n]).alias("hits"), F.when(F.size(hits_of[n]) > 0, gaps(F.col(text), p)).otherwise(texts).alias("gaps")) for n, (p, _) in patterns.items())
+    df = df.withColumn("__found", F.array(*both)).drop(*hits_of.values())
+    lengths = lambda x: F.zip_with(x["hits"], F.slice(x["gaps"], 1, F.size(x["hits"])), lambda m, g: F.length(m) + F.length(g))
+    df = df.withColumn("__found", F.transform("__found", lambda x: F.struct(x["hits"].alias("hits"), x["gaps"].alias("gaps"), before(lengths(x)).alias("sums"))))
+    df = df.withColumn("__found", F.transform("__found", spans))
+    return df.withColumns({n: F.get("__found", F.lit(i)) for i, n in enumerate(names)}).drop("__found")
 
 
 def joined(array: Column) -> Column:

@@ -46,7 +46,7 @@ def debounced(events: DataFrame, key: str = "path", at: str = "ts", quiet_ms: in
 
 def debounced_batch(events: DataFrame, key: str, at: str, quiet_ms: int = 500) -> DataFrame:
     """As debounced(), for a table. A fold over each key's sorted times; keys are independent."""
-    ms = F.unix_millis(F.col(at))
+    ms = F.unix_millis(F.col(at).cast("timestamp"))
 
     def step(a, t):
         passes = a["last"].isNull() | (t - a["last"] >= quiet_ms)
