@@ -8,7 +8,7 @@ little more than one point for each shingle.
 
 Signatures are banded; texts that share a band are compared with leaders of the band first, and the overlap of multisets decides.
 What then still lies in other components than most texts of its band is the query set: it is held against the band's texts in
-blocks of a bounded size, by signatures, and likely pairs are verified too. So every pair of texts in different components that
+blocks of a bounded size, by signatures, and likely pairs are verified there by their multisets. So every pair of texts in different components that
 shares a band is looked at, while a large group of copies only costs its links to leaders."""
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ REGISTERS = BANDS * ROWS
 #: Registers of the longer signatures that the last round estimates similarity with, and the share of them that two must have in
 #: common for their texts to be compared: 3.9 standard deviations below SIMILAR.
 WIDE, LIKELY = 256, 0.7025
-#: Most texts of each side of a block.
-BLOCK = 1024
+#: About as many texts, and shingles, of each side of a block.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Leaders that a text is compared with in a round, those first with which it shares most keys.
 LEADERS = 3
 #: Rounds with leaders before the last round.
@@ -187,12 +187,13 @@ def blocks(keyed: DataFrame, part: DataFrame | None, bag: DataFrame) -> DataFram
     """For each band with several components: queries, texts outside its largest one, beside targets, all its texts, a block of
     each at a time. Rows of a block have the same key, t and q."""
     keyed = placed(keyed, part)
-    inside = keyed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    band = inside.groupBy("key").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main")).where("most < total")
-    number = lambda n: F.ceil(n / BLOCK).cast("int")
-    band = band.select(F.struct("key").alias("at"), "main", number(F.col("total")).alias("ts"), number(F.col("total") - F.col("most")).alias("qs"))
-    rows = keyed.withColumn("at", F.struct("key")).join(band, "at").join(bag.select("id", "registers", "wide"), "id")
-    columns = ["key", "band", "id", "size", "component", "registers", "wide", (F.col("component") == F.col("main")).alias("is_main")]
+    inside = keyed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    largest = F.max_by(F.struct("component", "n", "s"), F.struct("n", "component"))
+    band = inside.groupBy("key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), largest.alias("main")).where("main.n < n")
+    number = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    band = band.select(F.struct("key").alias("at"), F.col("main.component").alias("main"), number(F.col("n"), F.col("s")).alias("ts"), number(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("qs"))
+    rows = keyed.withColumn("at", F.struct("key")).join(band, "at").join(bag, "id")
+    columns = ["key", "band", "id", "size", "component", "registers", "wide", "hashes", "counts", (F.col("component") == F.col("main")).alias("is_main")]
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     targets = rows.select(*columns, F.lit(False).alias("query"), own("ts").alias("t"), each("qs").alias("q"))
@@ -201,23 +202,40 @@ def blocks(keyed: DataFrame, part: DataFrame | None, bag: DataFrame) -> DataFram
     return targets.unionByName(queries).repartition(*at).sortWithinPartitions(*at)
 
 
-def likely(units: DataFrame, similar: float) -> DataFrame:
-    """Pairs of a query and a target in different components whose signatures agree enough; each in the first band they share only."""
+def linked(units: DataFrame, similar: float) -> DataFrame:
+    """Links between queries and targets in different components. Of a block's pairs whose signatures agree enough, in the first band
+    they share, the likelier are verified first, and pairs that other links of the block connect already need none: so a block has
+    fewer links than components."""
 
     def compare(rows: pa.Table) -> list[tuple[int, int]]:
         query = rows.column("query").to_numpy(zero_copy_only=False)
         ids, size, part, main = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "size", "component", "is_main"))
         regs, wide = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint16).reshape(len(ids), -1) for c in ("registers", "wide"))
         band, q, t = rows.column("band")[0].as_py(), np.flatnonzero(query), np.flatnonzero(~query)
-        out = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a in range(0, len(q), 64):
             x = q[a : a + 64]
             ok = (part[x][:, None] != part[t]) & (main[t] | (ids[t] < ids[x][:, None])) & (np.minimum(size[x][:, None], size[t]) >= similar * np.maximum(size[x][:, None], size[t]))
             i, j = np.nonzero(ok)
             i, j = x[i], t[j]
-            good = np.concatenate([(wide[i[b : b + 8192]] == wide[j[b : b + 8192]]).sum(axis=1) for b in range(0, len(i), 8192)] or [np.zeros(0)]) >= LIKELY * WIDE
+            agree = np.concatenate([(wide[i[b : b + 8192]] == wide[j[b : b + 8192]]).sum(axis=1) for b in range(0, len(i), 8192)] or [np.zeros(0)])
+            good = agree >= LIKELY * WIDE
             good[good] = (regs[i[good]] == regs[j[good]]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-            out += zip(ids[i[good]].tolist(), ids[j[good]].tolist(), strict=True)
+            found.append((i[good], j[good], agree[good]))
+        x, y, agree = (np.concatenate(c) for c in zip(*found, strict=True)) if found else ([], [], np.zeros(0))
+        hashes, counts, parent, out = rows.column("hashes"), rows.column("counts"), {}, []
+
+        def root(c: int) -> int:
+            while c in parent:
+                c = parent[c]
+            return c
+
+        for k in np.argsort(-agree, kind="stable").tolist():
+            i, j = int(x[k]), int(y[k])
+            one, other = root(int(part[i])), root(int(part[j]))
+            if one != other and overlap(hashes[i].as_buffer(), counts[i].as_buffer(), hashes[j].as_buffer(), counts[j].as_buffer()) >= similar:
+                parent[one] = other
+                out.append((int(ids[i]), int(ids[j])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,8 +292,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bag = stored(bags(rows.join(crowd.select("id").distinct(), "id", "left_semi"), shingle), "bags")
     part: DataFrame | None = None
     for turn in range(ROUNDS + 1):
-        pairs = leaders(crowd, part, turn, similar) if turn < ROUNDS else likely(blocks(crowd, part, bag), similar)
-        links = stored(verified(pairs, bag, similar), "links")
+        found = verified(leaders(crowd, part, turn, similar), bag, similar) if turn < ROUNDS else linked(blocks(crowd, part, bag), similar)
+        links = stored(found, "links")
         if not links.isEmpty():
             part = united(part, links)
     discard(crowd, bag)
