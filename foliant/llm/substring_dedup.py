@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.bytewords import Runs, U, Words, mix, signed, words
-from foliant.llm.shared import by_arrow, read, slices, stored
+from foliant.llm.shared import by_arrow, discard, read, slices, stored
 
 WINDOW, ANCHOR = 13, 5
 LAST = np.iinfo(np.int64).max
@@ -102,8 +102,8 @@ def anchor_summary(rows: DataFrame, window: int, k: int) -> DataFrame:
     return summary.where("lo < hi").select("anchor", "lo", (F.col("span_lo") == F.col("span_hi")).alias("uniform"))
 
 
-def tasks(rows: DataFrame, shared: DataFrame, window: int, k: int) -> DataFrame:
-    """A row for each document that shares an anchor: what to do at which of its spans.
+def tasks(rows: DataFrame, shared: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """A row for each document that shares an anchor: what to do at which of its spans; and the stored table behind it.
 
     A span that an earlier document has as it is goes. Of spans that differ at their anchor, only the first document offers its windows and,
     unless it is the anchor's first, looks them up."""
@@ -120,7 +120,7 @@ def tasks(rows: DataFrame, shared: DataFrame, window: int, k: int) -> DataFrame:
     first = mixed.groupBy("anchor", "span").agg(F.min("doc").alias("first")).select(F.struct("anchor", "span").alias("at"), "first")
     todo = F.when(F.col("doc") > F.col("first"), REMOVE).when(F.col("doc") > F.col("lo"), LOOK_UP).otherwise(OFFER)
     every = same.unionByName(mixed.join(first, "at").select("doc", "span", todo.alias("todo")))
-    return every.groupBy("doc").agg(F.collect_list("span").alias("spans"), F.collect_list("todo").alias("todos"))
+    return every.groupBy("doc").agg(F.collect_list("span").alias("spans"), F.collect_list("todo").alias("todos")), met
 
 
 STATE = "doc_id bigint, doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, text string, covered array<int>, offered array<int>, h1 array<bigint>, h2 array<bigint>"
@@ -186,7 +186,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other; a null id is larger than any other. An empty table gives an empty result. Other columns are not read."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     shared = stored(anchor_summary(rows, window, anchor), "anchors")
-    todo = stored(tasks(rows, shared, window, anchor), "anchor-tasks")
+    each, met = tasks(rows, shared, window, anchor)
+    todo = stored(each, "anchor-tasks")
+    discard(shared, met)  # all that they said is in the tasks
     state = stored(extended(rows, todo, window, anchor).withColumn("uid", F.monotonically_increasing_id()), "extended")
     offers = state.where(F.size("offered") > 0).select("uid", "doc", F.col("kept_sha256").isNull().alias("looks"), F.explode(F.arrays_zip("offered", "h1", "h2")).alias("w"))
     offers = offers.select("uid", "doc", "looks", F.col("w.offered").alias("start"), F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
