@@ -54,3 +54,16 @@ def test_random_strings_are_told_from_words(spark, table):
     found = check(spark, table, secret_scan, base_spans.secrets, ["n_assign", "n_access", "n_hex"], rows)
     assert sum("random" in found[i][0].spans for i in range(30)) >= 27
     assert not any("random" in found[i][0].spans for i in [*range(100, 140), 500])
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def test_long_keys_are_judged_by_decoys_of_their_own_length(spark, table):
+    rng = random.Random(7)
+    english = "etaoinshrdlucmfwypvbgkjqxz"
+    word = lambda: "".join(rng.choices(english, [12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3, 3, 2, 2, 2, 2, 2, 1, 1, 1, 1, 1, 1, 1, 1], k=16))
+    rows = [(i, f"here {''.join(rng.choice(LETTERS) for _ in range(40))} it is") for i in range(30)] + [(100 + i, " ".join(word() for _ in range(10))) for i in range(60)]
+    found = check(spark, table, secret_scan, base_spans.secrets, ["n_assign", "n_access", "n_hex"], rows)
+    assert sum("random" in found[i][0].spans for i in range(30)) >= 27
+    assert not any(found[100 + i][0].spans for i in range(60))
