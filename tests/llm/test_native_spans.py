@@ -67,3 +67,19 @@ def test_long_keys_are_judged_by_decoys_of_their_own_length(spark, table):
     found = check(spark, table, secret_scan, base_spans.secrets, ["n_assign", "n_access", "n_hex"], rows)
     assert sum("random" in found[i][0].spans for i in range(30)) >= 27
     assert not any(found[100 + i][0].spans for i in range(60))
+
+
+def test_copies_of_a_string_do_not_decide_for_its_length(spark, table):
+    rng = random.Random(8)
+    key = lambda: "".join(rng.choice(LETTERS) for _ in range(40))
+    words = ["donaudampfschifffahrtsgesellschaft", "incomprehensibilitiesandthen", "thetheandthenthatisandthere"]
+    asset = "images/images/images/images/banner-0001"
+    rows = [(i, f"here {key()} it is") for i in range(30)] + [(100 + i, " ".join(rng.choice(words) + rng.choice(["", "en", "lich"]) for _ in range(30))) for i in range(40)]
+    names = ["n_assign", "n_access", "n_hex"]
+    found = check(spark, table, secret_scan, base_spans.secrets, names, rows + [(1000 + i, f"see {asset} here") for i in range(40_000)])
+    assert sum("random" in found[i][0].spans for i in range(30)) >= 27
+    assert not any(found[1000 + i][0].spans for i in range(40_000))
+    copied = key()
+    found = check(spark, table, secret_scan, base_spans.secrets, names, rows + [(1000 + i, f"see {copied} here") for i in range(300)])
+    assert sum("random" in found[i][0].spans for i in range(30)) >= 27
+    assert {found[1000 + i][0].spans for i in range(300)} == {"random:4:44"}
