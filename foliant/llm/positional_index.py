@@ -88,10 +88,10 @@ class Windows:
     sizes: np.ndarray
     pair_window: np.ndarray
     pair_item: np.ndarray
-    items: list[str]
+    items: list[str | None]
 
 
-def windows_of(items: Sequence[str], texts: Sequence[str | None], size: int) -> Windows:
+def windows_of(items: Sequence[str | None], texts: Sequence[str | None], size: int) -> Windows:
     term, first = term_hashes(pa.array(texts, pa.string()))
     rows: list[np.ndarray] = []
     owner: list[np.ndarray] = []
@@ -157,7 +157,7 @@ def search(index: DataFrame, w: Windows) -> DataFrame:
             seg = Segment(row)
             n = len(seg.doc_ids)
             spans: list[list[int]] = [[] for _ in range(n)]
-            items: list[list[str]] = [[] for _ in range(n)]
+            items: list[list[str | None]] = [[] for _ in range(n)]
             found = list(phrases(seg, w))
             kind = np.concatenate([x for x, _ in found] or [np.zeros(0, np.int64)])
             begin = np.concatenate([x for _, x in found] or [np.zeros(0, np.int64)])
@@ -173,7 +173,7 @@ def search(index: DataFrame, w: Windows) -> DataFrame:
             count = np.diff(seg.firsts)
             yield pa.RecordBatch.from_pydict({
                 "segment": [row["segment"]] * n, "place": pa.array(range(n), pa.int32()), "doc_id": pa.array(seg.doc_ids, pa.int64()), "n_words": count,
-                "spans": pa.array(spans, pa.list_(pa.int32())), "items": pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
+                "spans": pa.array(spans, pa.list_(pa.int32())), "items": pa.array([sorted(set(x), key=lambda i: (i is None, i)) for x in items], pa.list_(pa.string())),
             })
 
     return by_arrow(index, run, HIT_SCHEMA)
@@ -184,9 +184,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A word is hit if an occurrence of a test window covers it; a window has `window` words, or all words of a shorter item.
     Null or empty texts have no words and no hits; items without words match nothing; items that share an id count once.
+    Items without an id are searched too: their windows hit and contaminate, and together they are one item of n_items, as SQL counts, but have no name in items.
     The benchmark is taken in blocks of about block_bytes of text, each sent to all segments, so that its size is no limit."""
     index = stored(build_index(docs, id_col, text_col), "positions")
-    tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
+    tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     parts = []
@@ -203,7 +204,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hit = F.aggregate(F.sequence(F.lit(0), F.size("spans") - 1), F.lit(0), lambda a, i: a + F.get("spans", i) * F.when(i % 2 == 0, -1).otherwise(1))
     return found.select(
         F.col("doc_id").alias(id_col), "n_words", F.when(F.size("spans") == 0, 0).otherwise(hit).cast("bigint").alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), F.col("spans").alias("hit_spans"), items.alias("items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), F.col("spans").alias("hit_spans"), F.array_compact(items).alias("items"),
     )
 
 

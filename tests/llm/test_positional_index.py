@@ -51,3 +51,12 @@ def test_empty_tables(spark, table):
 def test_proximity(table):
     index = build_index(table([(1, "red a b blue"), (2, "red a b c d e blue"), (3, "blue"), (4, "blue x red")]))
     assert sorted(r.doc_id for r in proximity(index, ["Red", "blue"], 3).collect()) == [1, 4]
+
+
+def test_items_without_an_id_hit(spark, table, prose):
+    bench = spark.createDataFrame([(None, prose(12, 4)), (None, prose(12, 5)), (3, prose(12, 6)), (None, None)], "item_id bigint, text string")
+    docs = [(1, f"{prose(12, 4)} and {prose(12, 5)}"), (2, prose(12, 6)), (3, f"{prose(12, 5)} or {prose(12, 6)}"), (4, prose(12, 7))]
+    for block in (1 << 20, 60):
+        found = sorted(contamination(table(docs), bench, block_bytes=block).collect(), key=lambda r: r.doc_id)
+        assert [(r.doc_id, r.n_hit, r.n_items, r.items, r.contaminated) for r in found] == [(1, 24, 1, [], True), (2, 12, 1, ["3"], True), (3, 24, 2, ["3"], True), (4, 0, 0, [], False)]
+        assert [r.items_sha256 for r in found] == [hashlib.sha256(x).hexdigest() for x in (b"", b"3", b"3", b"")]
