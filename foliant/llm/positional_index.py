@@ -7,7 +7,6 @@ common passage costs what its postings cost. Test items are sent to the segments
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ WINDOW = 10
 BLOCK_BYTES = 8 << 20
 MOST_AT_ONCE = 1 << 20
 
-INDEX_SCHEMA = "segment string, doc_ids array<bigint>, firsts binary, terms binary, counts binary, gaps binary"
+INDEX_SCHEMA = "doc_ids array<bigint>, firsts binary, terms binary, counts binary, gaps binary"
 HIT_SCHEMA = "segment string, place int, doc_id bigint, n_words bigint, spans array<int>, items array<string>"
 
 
@@ -35,6 +34,7 @@ def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each segment: firsts are each text's first position, gaps the differences between positions sorted by term.
+    A segment is a number, whatever it holds; it is fixed once the index is stored.
 
     Null texts have no words. Ids may be null or repeated: results are by row. Words: runs of ASCII letters (A-Z as a-z), ASCII digits and characters beyond ASCII."""
 
@@ -44,13 +44,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             order = np.argsort(term, kind="stable").astype(np.uint32)
             ordered = term[order]
             at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(term) else np.zeros(0, np.int64)
-            name = hashlib.sha256(ordered.tobytes() + first.tobytes() + str(part.column("id").slice(0, 1)).encode() + str(part.column("id").slice(len(part) - 1)).encode()).hexdigest()[:24]
             yield pa.RecordBatch.from_pydict({
-                "segment": [name], "doc_ids": pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), "firsts": [first.astype(np.uint32).tobytes()],
+                "doc_ids": pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), "firsts": [first.astype(np.uint32).tobytes()],
                 "terms": [ordered[at].tobytes()], "counts": [np.diff(np.r_[at, len(term)]).astype(np.uint32).tobytes()], "gaps": [np.diff(order, prepend=np.uint32(0)).tobytes()],
             })
 
-    return by_arrow(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), segments, INDEX_SCHEMA)
+    rows = by_arrow(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), segments, INDEX_SCHEMA)
+    return rows.select(F.monotonically_increasing_id().cast("string").alias("segment"), "*")
 
 
 class Segment:

@@ -60,3 +60,11 @@ def test_items_without_an_id_hit(spark, table, prose):
         found = sorted(contamination(table(docs), bench, block_bytes=block).collect(), key=lambda r: r.doc_id)
         assert [(r.doc_id, r.n_hit, r.n_items, r.items, r.contaminated) for r in found] == [(1, 24, 1, [], True), (2, 12, 1, ["3"], True), (3, 24, 2, ["3"], True), (4, 0, 0, [], False)]
         assert [r.items_sha256 for r in found] == [hashlib.sha256(x).hexdigest() for x in (b"", b"3", b"3", b"")]
+
+
+def test_equal_rows_in_equal_batches_stay(spark, prose):
+    bench = spark.createDataFrame([(i, prose(12, 20 + i)) for i in range(4)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(None, prose(12, 21) + " end")] * 12, "doc_id bigint, text string")
+    for block in (1 << 20, 60):
+        found = contamination(docs, bench, block_bytes=block).collect()
+        assert [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found] == [(None, 13, 12, ["1"])] * 12
