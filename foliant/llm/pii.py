@@ -64,15 +64,20 @@ def based(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select("doc_id", base.alias("base"), F.transform("instance", instance).alias("instances")).withColumn("uid", F.monotonically_increasing_id())
 
 
+def key(x: Column, most: int) -> Column:
+    """x itself, or its beginning and a digest of the whole if it is longer: different strings have different keys, of a bounded size."""
+    return F.when(F.length(x) <= most, x).otherwise(F.concat(F.left(x, F.lit(most)), F.sha2(x, 256)))
+
+
 def instance(x: Column) -> Column:
     """A token without quotes, brackets and stops around it, its shape, and the words beside it (# for another instance)."""
     lead = F.length(x["hit"]) - F.length(F.ltrim(x["hit"], F.lit("\"'([{<")))
     value = F.rtrim(F.ltrim(x["hit"], F.lit("\"'([{<")), F.lit("\"')]}>.,;:!?"))
     shape = F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]", "0")
-    word = lambda side, pattern: F.lower(F.regexp_extract(side, pattern, 1))
-    left, right = word(F.right(x["left"], F.lit(40)), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$"), word(F.left(x["right"], F.lit(40)), r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)")
+    word = lambda side, pattern: key(F.lower(F.regexp_extract(side, pattern, 1)), 40)
+    left, right = word(x["left"], r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$"), word(x["right"], r"^[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)")
     return F.struct(
-        (x["start"] + lead).alias("start"), (x["start"] + lead + F.length(value)).alias("end"), F.left(value, F.lit(200)).alias("value"), F.left(shape, F.lit(80)).alias("shape"),
+        (x["start"] + lead).alias("start"), (x["start"] + lead + F.length(value)).alias("end"), key(value, 200).alias("value"), key(shape, 80).alias("shape"),
         F.when(F.trim(x["left"]) == "", "#").otherwise(left).alias("before"), F.when(F.trim(x["right"]) == "", "#").otherwise(right).alias("after"),
     )
 

@@ -83,3 +83,13 @@ def test_copies_of_a_string_do_not_decide_for_its_length(spark, table):
     found = check(spark, table, secret_scan, base_spans.secrets, names, rows + [(1000 + i, f"see {copied} here") for i in range(300)])
     assert sum("random" in found[i][0].spans for i in range(30)) >= 27
     assert {found[1000 + i][0].spans for i in range(300)} == {"random:4:44"}
+
+
+def test_long_instances_differ_by_what_comes_last(spark, table):
+    long = "https://host/" + "a1-" * 70
+    far = "w" * 50
+    texts = [f"{a}{far} {long}{tail} {far}{b} end" for a, b, tail in [("x", "y", "end@mail"), ("x", "y", "end/mail"), ("z", "y", "end/mail"), ("x", "v", "end/mail")]]
+    found = sorted(pii.based(table(list(enumerate(texts))), "doc_id", "text").collect(), key=lambda r: r.doc_id)
+    one = [r.instances[0] for r in found]
+    assert all(len(r.instances) == 1 and (x.start, x.end) == (52, 52 + len(long) + 8) for r, x in zip(found, one, strict=True))
+    assert len({x.value for x in one}) == len({x["shape"] for x in one}) == len({x.before for x in one}) == len({x.after for x in one}) == 2
