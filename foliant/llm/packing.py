@@ -257,10 +257,12 @@ def best_fit(counts: np.ndarray, width: int, steps: int) -> list[Pattern]:
     return out
 
 
-def bin_completion(counts: np.ndarray, nodes: int = 3000, width: int = 6, steps: int = 200) -> list[Pattern]:
+def bin_completion(counts: np.ndarray, nodes: int = 3000, width: int = 6, steps: int = 200, per_length: int = 8) -> list[Pattern]:
     """Branch and bound over the histogram. The incumbent is the better of two best-fit packings; a branch ends once its waste
-    exceeds what a packing with one bin less could have. After `nodes` nodes the incumbent stands: a whole packing in any case."""
+    exceeds what a packing with one bin less could have. A dive to a leaf takes at most a node for each distinct length; after `per_length`
+    times as many, and `nodes` at least, the incumbent stands: a whole packing in any case."""
     capacity = len(counts) - 1
+    nodes = max(nodes, per_length * int((counts > 0).sum()))
     total = int((counts * np.arange(capacity + 1)).sum())
     bins = lambda packing: sum(n for _, n in packing)
     low, best = lower_bound(counts), best_fit(counts, 1, 1)

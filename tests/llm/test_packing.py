@@ -31,6 +31,14 @@ def test_close_to_the_bound():
         assert bins(sizes) <= lower_bound(np.bincount(sizes, minlength=21)) + 1
 
 
+def test_search_reaches_leaves_behind_thousands_of_lengths():
+    hard = [6, 7, 7, 9, 10, 11, 11, 12]
+    pairs = [x for x in range(5001, 8500) if x % 400]
+    sizes = [400 * x for x in hard] + pairs + [10_000 - x for x in pairs]
+    assert bins(hard, 25) == 3
+    assert bins(sizes, 10_000) == len(pairs) + 3
+
+
 def test_pieces_and_places(table, prose):
     rows = [(1, prose(300, 1)), (2, None), (3, ""), (4, prose(90, 2) + " <|endoftext|> it's ÄÖ é 漢字"), (5, prose(2000, 3)), (None, "null id"), (1, prose(300, 1)), (6, "a" * 5000)]
     capacity = 256
