@@ -191,35 +191,47 @@ class Network:
 LEAST_TEXTS = 5
 
 
-def log_odds(bucket: np.ndarray, text: np.ndarray, label: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """How much oftener toxic texts have a bucket than others, by texts, as a smoothed logarithm; and which buckets are common enough to tell."""
-    pair = np.unique(bucket * len(label) + text)
-    seen, of = pair // len(label), label[pair % len(label)]
-    up, down = np.bincount(seen, of, n), np.bincount(seen, 1 - of, n)
+#: Texts that known_odds counts at a time, so that what it holds doesn't grow with the sample.
+AT_ONCE = 256
+
+
+def known_odds(x: Inputs, n_char: np.ndarray, label: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """For the buckets of words and of characters: how much oftener toxic texts have a bucket than others, by texts, as a smoothed logarithm;
+    and which buckets are common enough to tell."""
+    seen = [np.zeros((2, n)) for n in (WORD_BUCKETS, CHAR_BUCKETS)]
+    for a in range(0, len(label), AT_ONCE):
+        own = label[a : a + AT_ONCE]
+        owner = np.repeat(np.arange(len(own)), np.diff(x.first[a : a + len(own) + 1]))
+        pair = np.unique(owner * len(n_char) + x.word[x.first[a] : x.first[a + len(own)]])  # each text's distinct words
+        at_text, at_word = pair // len(n_char), pair % len(n_char)
+        reps = n_char[at_word]
+        place = np.arange(int(reps.sum())) + np.repeat(x.char_at[at_word] - (np.cumsum(reps) - reps), reps)
+        for total, n, of, bucket in ((seen[0], WORD_BUCKETS, at_text, x.bucket[at_word]), (seen[1], CHAR_BUCKETS, np.repeat(at_text, reps), x.char[place])):
+            once = np.unique(of * n + bucket)
+            for k in (0, 1):
+                total[k] += np.bincount(once % n, own[once // n] == k, n)
+    return tuple(log_odds(up, down, label) for down, up in seen)
+
+
+def log_odds(up: np.ndarray, down: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     common = up + down >= LEAST_TEXTS
     return np.log((up + 0.5) / (label.sum() + 1) / ((down + 0.5) / ((1 - label).sum() + 1))) * common, common
 
 
-def fit(texts: list[str | None], label: np.ndarray, prior: float, rounds: int = 7, batch: int = 192, rate: float = 0.01, seed: int = 7) -> Network:
+def fit(texts: pa.Array | pa.ChunkedArray, label: np.ndarray, prior: float, rounds: int = 7, batch: int = 192, rate: float = 0.01, seed: int = 7) -> Network:
     """Learns from whole texts of which only the label of the text is known: each round scores all windows, and trains on the
     worst window of every text and a random one of every text that isn't toxic. prior: share of toxic texts among all."""
     net, rng = Network.new(seed), np.random.default_rng(seed)
     net.empty = min(max(prior, 0.0), 0.49)
     label = np.asarray(label, np.float64)
-    x = inputs(pa.array(texts, pa.string()))
+    x = inputs(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
     text, begin, size = x.windows()
     if not len(text) or label.min() == label.max():
         net.p["out"][:] = 0
         net.shift = float(np.log((net.empty + 1e-3) / (1 - net.empty)))
         return net
-    owner = np.repeat(np.arange(len(label)), np.diff(x.first))
-    odds, common = log_odds(x.bucket[x.word], owner, label, WORD_BUCKETS)
     n_char = np.diff(np.r_[x.char_at, len(x.char)])
-    seen = np.unique(owner * len(n_char) + x.word)  # each text's distinct words
-    at_text, at_word = seen // len(n_char), seen % len(n_char)
-    reps = n_char[at_word]
-    place = np.arange(int(reps.sum())) + np.repeat(x.char_at[at_word] - (np.cumsum(reps) - reps), reps)
-    char_odds, char_common = log_odds(x.char[place], np.repeat(at_text, reps), label, CHAR_BUCKETS)
+    (odds, common), (char_odds, char_common) = known_odds(x, n_char, label)
     known = {"words": common[:, None], "chars": char_common[:, None]}
     for name, which in known.items():
         net.p[name] *= which

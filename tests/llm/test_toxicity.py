@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from foliant.llm import bigru
+from foliant.llm import toxicity as toxicity_module
 from foliant.llm.toxicity import toxicity
 
 BAD = ["grobian", "fiesling", "grobianx", "ekelhaft"]
@@ -78,3 +79,55 @@ def test_windows_overlap_and_cover():
         _, begin, size = x.windows()
         assert {p for b, s in zip(begin, size, strict=True) for p in range(b, b + s)} == set(range(n))
         assert all(b < a + s for a, b, s in zip(begin, begin[1:], size, strict=False))
+
+
+def naive_logit(net, words):
+    """Of one window, by loops over words, gates and states."""
+    vectors = []
+    for w in words:
+        x = bigru.inputs(pa.array([w]))
+        vectors.append(net.p["words"][x.bucket[0]] + np.mean([net.p["chars"][c] for c in x.char], axis=0))
+    sides, n = {}, bigru.HIDDEN
+    for d, order in (("f", range(len(words))), ("b", reversed(range(len(words))))):
+        h, sides[d] = np.zeros(n), {}
+        for t in order:
+            into, back = vectors[t] @ net.p[f"in_{d}"] + net.p[f"b_{d}"], h @ net.p[f"u_{d}"]
+            z, r = (1 / (1 + np.exp(-(into[k * n : k * n + n] + back[k * n : k * n + n]))) for k in (0, 1))
+            h = (1 - z) * np.tanh(into[2 * n :] + r * back[2 * n :]) + z * h
+            sides[d][t] = h
+    states = [np.concatenate([sides["f"][t], sides["b"][t]]) for t in range(len(words))]
+    ask = np.exp([np.tanh(s @ net.p["look"]) @ net.p["ask"] for s in states])
+    return sum(a * s for a, s in zip(ask / ask.sum(), states, strict=True)) @ net.p["out"] + net.p["bias"][0]
+
+
+def test_scores_are_the_worst_of_all_windows_by_hand(prose):
+    net = bigru.Network.new(3)
+    net.scale, net.shift, net.empty = 1.3, 0.2, 0.3
+    texts = [prose(n, n) for n in (1, 5, 48, 49, 130)] + ["", None]
+    found = net.scores(pa.array(texts))
+    for text, score in zip(texts[:5], found, strict=False):
+        w = text.split()
+        begins = [*range(0, max(len(w) - bigru.WINDOW, 0), bigru.STRIDE), max(len(w) - bigru.WINDOW, 0)]
+        worst = max(naive_logit(net, w[b : b + bigru.WINDOW]) for b in begins)
+        assert abs(score - 1 / (1 + np.exp(-(1.3 * worst + 0.2)))) < 1e-4
+    assert found[5] == found[6] == 0.3
+
+
+def test_sample_has_long_texts_and_a_bound(spark, table, prose):
+    long = prose(9000, 1)  # more than 32 KB
+    docs = table([(i, long if i == 1 else prose(20, i)) for i in range(40)])
+    known = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    every = toxicity_module.sample(docs, known, 100, 1 << 20).collect()
+    assert len(every) == 40 and long in {r.text for r in every}
+    few = toxicity_module.sample(docs, known, 100, 1 << 10).collect()
+    assert all(0 < sum(len(r.text) for r in few if r.toxic == c) <= 1 << 10 for c in (0, 1))
+    assert toxicity_module.sample(docs, known, 3, 1 << 20).count() == 6
+
+
+def test_odds_do_not_depend_on_how_many_texts_are_counted_at_once(prose, monkeypatch):
+    x = bigru.inputs(pa.array([prose(30, i) for i in range(40)]))
+    n_char, label = np.diff(np.r_[x.char_at, len(x.char)]), (np.arange(40) % 3 == 0).astype(float)
+    whole = bigru.known_odds(x, n_char, label)
+    monkeypatch.setattr(bigru, "AT_ONCE", 7)
+    for a, b in zip(whole, bigru.known_odds(x, n_char, label), strict=True):
+        assert all(np.array_equal(p, q) for p, q in zip(a, b, strict=True))
