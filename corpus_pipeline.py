@@ -1,7 +1,7 @@
 """Documents to packed training sequences, in five stages that each read the Parquet files of the one before.
 
-All stages but the last return the columns of documents. Documents with a null doc_id pass the deduplicating stages, whose
-decisions name documents by id; repeated rows share one decision."""
+All stages but the last return the columns of documents. Decisions are by row: repeated and null ids lose no other text, and of rows
+that are equal in a stage's eyes one stays, the one with the smallest doc_id (null last)."""
 
 from __future__ import annotations
 
@@ -9,13 +9,22 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.llm import bag_minhash, exact_dedup, packing, positional_index, toxicity
 from foliant.llm.shared import by_arrow, read, slices, stored
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, stored so that it stays the same however often the table is read."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def first_of(docs: DataFrame, rows: DataFrame, group: str) -> DataFrame:
+    """Of docs, numbered(), the row of each group with the smallest doc_id. rows: _row and the group of every row."""
+    placed = docs.select(F.struct("_row").alias("at"), F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("_order")).join(rows.select(F.struct("_row").alias("at"), group), "at")
+    kept = placed.groupBy(group).agg(F.min("_order")["_row"].alias("_row")).select("_row")
+    return docs.join(kept, "_row", "left_semi").drop("_row")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +40,21 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the smallest doc_id stays."""
-    return without(docs, exact_dedup.deduplicate(docs).where("not kept"))
+    rows = numbered(docs)
+    return first_of(rows, exact_dedup.deduplicate(rows, id_col="_row"), "keep_id")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies, the smallest doc_id stays."""
-    return without(docs, bag_minhash.near_duplicates(docs).where("not kept"))
+    rows = numbered(docs)
+    return first_of(rows, bag_minhash.near_duplicates(rows, id_col="_row"), "class_id")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    return without(docs, positional_index.contamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated"))
+    rows = numbered(docs)
+    found = positional_index.contamination(rows, read(spark, sf_dir, "benchmark"), id_col="_row")
+    return rows.join(found.where("contaminated").select("_row"), "_row", "left_anti").drop("_row")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
