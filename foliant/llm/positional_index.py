@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from foliant.llm.shared import by_arrow, read, slices, stored
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
 MOST_AT_ONCE = 1 << 20
+WINDOWS_AT_ONCE = 1 << 17
 
 INDEX_SCHEMA = "doc_ids array<bigint>, firsts binary, terms binary, counts binary, gaps binary"
 HIT_SCHEMA = "segment string, place int, doc_id bigint, n_words bigint, spans array<int>, items array<string>"
@@ -82,63 +84,58 @@ class Segment:
 
 @dataclass
 class Windows:
-    """Distinct windows, padded at the end; pairs of window and item say which items have which."""
+    """All windows of `window` consecutive words of some items, and whole items of fewer words: the items' words in a row, and where each
+    item's begin. Windows are spans of that row, worked out where they are searched for."""
 
     terms: np.ndarray
-    sizes: np.ndarray
-    pair_window: np.ndarray
-    pair_item: np.ndarray
+    first: np.ndarray
+    window: int
     items: list[str | None]
 
+    @cached_property
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, number of words and item of each window."""
+        n = np.diff(self.first)
+        count = np.where(n > 0, np.maximum(n - self.window + 1, 1), 0)
+        item = np.repeat(np.arange(len(n)), count)
+        start = self.first[item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        return start, np.minimum(n[item], self.window), item
 
-def windows_of(items: Sequence[str | None], texts: Sequence[str | None], size: int) -> Windows:
-    term, first = term_hashes(pa.array(texts, pa.string()))
-    rows: list[np.ndarray] = []
-    owner: list[np.ndarray] = []
-    for i in range(len(items)):
-        own = term[first[i] : first[i + 1]]
-        if len(own):
-            n = max(len(own) - size + 1, 1)
-            grid = np.zeros((n, size), U)
-            grid[:, : min(size, len(own))] = np.lib.stride_tricks.sliding_window_view(own, min(size, len(own)))
-            rows.append(np.c_[grid, np.full((n, 1), min(size, len(own)), U)])
-            owner.append(np.full(n, i))
-    if not rows:
-        none = np.zeros(0, np.int64)
-        return Windows(np.zeros((0, size), U), none, none, none, list(items))
-    kinds, kind = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-    pairs = np.unique(np.c_[kind.ravel(), np.concatenate(owner)], axis=0)
-    return Windows(kinds[:, :size], kinds[:, size].astype(np.int64), pairs[:, 0], pairs[:, 1], list(items))
+
+def windows_of(items: Sequence[str | None], texts: pa.Array, size: int) -> Windows:
+    term, first = term_hashes(texts)
+    return Windows(term, first.astype(np.int64), size, list(items))
 
 
 def phrases(seg: Segment, w: Windows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Windows and where they begin, for all exact occurrences within one text; at most about MOST_AT_ONCE candidates at a time."""
-    if not len(w.sizes) or not len(seg.terms):
+    start, sizes, _ = w.spans
+    if not len(start) or not len(seg.terms):
         return
-    size = w.terms.shape[1]
     number = seg.number(w.terms)
-    unused = np.arange(size) >= w.sizes[:, None]
-    alive = np.flatnonzero(((number >= 0) | unused).all(axis=1))
-    if not len(alive):
-        return
-    number, unused = number[alive], unused[alive]
-    df = np.where(unused, np.iinfo(np.int64).max, seg.counts[np.maximum(number, 0)])
-    order = np.argsort(df, axis=1, kind="stable")
-    rarest = np.take_along_axis(number, order[:, :1], 1)[:, 0]
-    load = seg.counts[rarest]
-    for part in np.split(np.arange(len(alive)), np.flatnonzero(np.diff(np.cumsum(load) // MOST_AT_ONCE)) + 1):
-        n = load[part]
-        row = np.repeat(part, n)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + seg.at[rarest[row]]
-        begin = seg.positions[place] - order[row, 0]
-        for k in range(1, size):
-            at = order[row, k]
-            ok = (begin >= 0) & (unused[row, at] | seg.holds(np.maximum(number[row, at], 0), begin + at))
+    missing = np.r_[0, np.cumsum(number < 0)]
+    every = np.flatnonzero(missing[start + sizes] == missing[start])
+    for alive in np.split(every, range(WINDOWS_AT_ONCE, len(every), WINDOWS_AT_ONCE)) if len(every) else ():
+        size = int(sizes[alive].max())
+        unused = np.arange(size) >= sizes[alive][:, None]
+        own = number[np.minimum(start[alive][:, None] + np.arange(size), len(number) - 1)]
+        df = np.where(unused, np.iinfo(np.int64).max, seg.counts[np.maximum(own, 0)])
+        order = np.argsort(df, axis=1, kind="stable")
+        rarest = np.take_along_axis(own, order[:, :1], 1)[:, 0]
+        load = seg.counts[rarest]
+        for part in np.split(np.arange(len(alive)), np.flatnonzero(np.diff(np.cumsum(load) // MOST_AT_ONCE)) + 1):
+            n = load[part]
+            row = np.repeat(part, n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + seg.at[rarest[row]]
+            begin = seg.positions[place] - order[row, 0]
+            for k in range(1, size):
+                at = order[row, k]
+                ok = (begin >= 0) & (unused[row, at] | seg.holds(np.maximum(own[row, at], 0), begin + at))
+                row, begin = row[ok], begin[ok]
+            ok = begin >= 0
             row, begin = row[ok], begin[ok]
-        ok = begin >= 0
-        row, begin = row[ok], begin[ok]
-        ok = seg.text_of(begin) == seg.text_of(begin + w.sizes[alive[row]] - 1)
-        yield alive[row[ok]], begin[ok]
+            ok = seg.text_of(begin) == seg.text_of(begin + sizes[alive[row]] - 1)
+            yield alive[row[ok]], begin[ok]
 
 
 def merged_spans(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -153,6 +150,7 @@ def search(index: DataFrame, w: Windows) -> DataFrame:
     """A row for each text: its hit spans in words, and the items with occurring windows."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        _, sizes, item = w.spans
         for row in batch.to_pylist():
             seg = Segment(row)
             n = len(seg.doc_ids)
@@ -165,11 +163,9 @@ def search(index: DataFrame, w: Windows) -> DataFrame:
             for t in np.unique(text):
                 mine = text == t
                 b = begin[mine] - seg.firsts[t]
-                spans[t] = merged_spans(b, b + w.sizes[kind[mine]]).tolist()
-            pair = np.unique(np.c_[text, kind], axis=0)
-            lo, hi = np.searchsorted(w.pair_window, pair[:, 1]), np.searchsorted(w.pair_window, pair[:, 1], side="right")
-            for t, a, b in zip(pair[:, 0], lo, hi, strict=True):
-                items[t] += [w.items[i] for i in w.pair_item[a:b]]
+                spans[t] = merged_spans(b, b + sizes[kind[mine]]).tolist()
+            for t, i in np.unique(np.c_[text, item[kind]], axis=0).tolist():
+                items[t].append(w.items[i])
             count = np.diff(seg.firsts)
             yield pa.RecordBatch.from_pydict({
                 "segment": [row["segment"]] * n, "place": pa.array(range(n), pa.int32()), "doc_id": pa.array(seg.doc_ids, pa.int64()), "n_words": count,
@@ -185,18 +181,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A word is hit if an occurrence of a test window covers it; a window has `window` words, or all words of a shorter item.
     Null or empty texts have no words and no hits; items without words match nothing; items that share an id count once.
     Items without an id are searched too: their windows hit and contaminate, and together they are one item of n_items, as SQL counts, but have no name in items.
-    The benchmark is taken in blocks of about block_bytes of text, each sent to all segments, so that its size is no limit."""
+    The benchmark is taken in blocks of about block_bytes of text, each sent to all segments as eight bytes a word, so that its size is no limit."""
     index = stored(build_index(docs, id_col, text_col), "positions")
     tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    parts = []
+    found = None
     for b in range(blocks):
         own = (tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)).toArrow()
-        parts.append(search(index, windows_of(own.column("item").to_pylist(), own.column("text").to_pylist(), window)))
-    found = parts[0]
-    for x in parts[1:]:
-        found = found.unionByName(x)
+        hits = search(index, windows_of(own.column("item").to_pylist(), own.column("text").combine_chunks(), window))
+        if blocks > 1:  # written at once, so that the driver holds one block's words at a time; of later blocks only what hits
+            hits = stored(hits if b == 0 else hits.where("size(spans) > 0"), "block-hits")
+        found = hits if found is None else found.unionByName(hits)
     if blocks > 1:
         found = found.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
         found = found.withColumn("spans", united("spans"))

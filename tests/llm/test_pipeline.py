@@ -40,3 +40,27 @@ def test_stages_and_whole_run(spark, prose, tmp_path):
     assert left["near_dedup"] - left["decontamination"] == {1002} & left["near_dedup"]
     assert left["packing"] == left["decontamination"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left["packing"]
+
+
+def test_decisions_are_by_row(spark, prose, tmp_path):
+    """Null and repeated ids, repeated rows, extra columns and empty tables."""
+    a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
+    near = a.split()
+    near[5] = "changed"
+    passage = prose(20, 5)
+    rows = [(7, a), (7, b), (3, a), (7, a), (7, a), (None, b), (None, c), (None, None), (None, ""), (9, " ".join(near)), (9, c + " x"), (4, None), (12, b + " " + passage), (12, prose(50, 8))]
+    schema = "doc_id bigint, text string"
+    docs = spark.createDataFrame(rows, schema).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) AS bigint) AS n_chars", "1 AS _size", "2 AS id", "3 AS keep_id", "4 AS class_id", "5 AS contaminated").repartition(3)
+    spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = lambda stage, d: sorted(((r.doc_id, r.text) for r in stage(spark, d, str(tmp_path)).select("doc_id", "text").collect()), key=str)
+    exact = left(corpus_pipeline.drop_copies, docs)
+    blank = [r for r in exact if not r[1]]
+    assert blank == [(4, None)]
+    assert [r for r in exact if r[1]] == sorted([(3, a), (7, b), (None, c), (9, " ".join(near)), (9, c + " x"), (12, b + " " + passage), (12, prose(50, 8))], key=str)
+    kept = left(corpus_pipeline.drop_near_copies, docs)
+    assert kept == sorted([(3, a), (7, b), (4, None), (9, c + " x"), (12, b + " " + passage), (12, prose(50, 8))], key=str)
+    clean = left(corpus_pipeline.drop_contaminated, docs)
+    assert len(clean) == len(rows) - 1 and (12, b + " " + passage) not in clean
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name

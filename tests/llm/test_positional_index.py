@@ -1,7 +1,9 @@
 import hashlib
 import re
 
-from foliant.llm.positional_index import build_index, contamination, proximity
+import pyarrow as pa
+
+from foliant.llm.positional_index import build_index, contamination, proximity, windows_of
 
 
 def words(t):
@@ -68,3 +70,13 @@ def test_equal_rows_in_equal_batches_stay(spark, prose):
     for block in (1 << 20, 60):
         found = contamination(docs, bench, block_bytes=block).collect()
         assert [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found] == [(None, 13, 12, ["1"])] * 12
+
+
+def test_blocks_of_the_benchmark_are_small(prose):
+    import pickle
+
+    texts = [prose(1000, i) for i in range(60)]
+    w = windows_of(list(range(60)), pa.array(texts), 10)
+    assert len(pickle.dumps(w)) < 1.5 * sum(map(len, texts))
+    start, size, item = w.spans
+    assert len(start) == 60 * 991 and set(size) == {10} and list(item[:992]) == [0] * 991 + [1]
