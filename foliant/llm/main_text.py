@@ -2,14 +2,15 @@
 
 Words and tags have scores, learned from labelled pages: a word's is the log-odds that it belongs to the article, given the
 elements around it, and a tag's is negative. One linear scan finds the contiguous region with the largest sum. Of the region,
-words with a negative score (an advert or a form between two paragraphs) are left out, and the rest is cut into blocks."""
+words with a negative score (an advert or a form between two paragraphs) are left out, and the rest is cut into blocks. A whole
+gap between positive words costs a bounded score, so that a long advert doesn't hide the rest of an article."""
 
 from __future__ import annotations
 
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -39,6 +40,11 @@ KEYWORDS = frozenset(
     "sidebar side widget related recommended recommendations more popular trending share sharing social comment comments discussion reply replies respond disqus menu nav navigation navbar breadcrumb breadcrumbs pagination pager skip "
     "footer foot copyright legal header masthead topbar login search form toolbar tags author byline meta content article post entry story main body text page hentry contentinfo complementary".split()
 )
+#: Parts that make a class a state of a page or a subject of an article, not a name of what the element is.
+STATE = frozenset("open opened closed enabled disabled allowed has with no without is not js on off active fixed sticky category categories tagged tag format status type".split())
+#: Parts that name an article element; another's class words say nothing about it, and a main element's nothing about what is around it.
+OF_ARTICLE = frozenset("comment comments reply replies respond content article post entry story main body text page hentry".split())
+LEGAL = re.compile(r"(?i)[^\w©(]*(?:©|\(c\)\s*\d{4}|copyright\s*(?:©|\(c\)|by\b|[-:]?\s*\d{4})|all rights reserved|alle rechte vorbehalten)")
 FEATURE_TAGS = frozenset("nav header footer aside form article main section p li a h1 h2 h3 h4 h5 h6 table blockquote pre code figure figcaption dl label legend fieldset small menu dialog search summary address".split())
 
 
@@ -60,24 +66,64 @@ class Element:
     unseen: bool
 
 
+def named(name: str, attributes: str) -> set[str]:
+    """Features of an element's class, id and role: the known parts of those values that name it."""
+    if name in ("html", "body", "main") or "=" not in attributes:
+        return set()
+    out = set()
+    for m in NAMED.finditer(attributes):
+        for value in (m[1] or m[2] or m[3] or "").split():
+            parts = {x.lower() for x in PART.findall(value)}
+            if not parts & STATE or parts <= KEYWORDS:
+                out |= parts & (OF_ARTICLE if name == "article" else KEYWORDS)
+    return {"." + x for x in out}
+
+
 def element(name: str, attributes: str, around: Element) -> Element:
-    own = set()
+    own = named(name, attributes)
     if name in FEATURE_TAGS:
         own.add("article>" + name if name in ("header", "footer") and "article" in around.features else name)
-    for m in NAMED.finditer(attributes) if "=" in attributes else ():
-        own |= {"." + x.lower() for x in PART.findall(m[1] or m[2] or m[3] or "") if x.lower() in KEYWORDS}
-    return Element(name, around.features | own if own else around.features, around.unseen or name in UNSEEN or bool(re.search(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", attributes)))
+    inherited = frozenset(x for x in around.features if x[0] != ".") if name == "main" else around.features
+    return Element(name, inherited | own if own else inherited, around.unseen or name in UNSEEN or bool(re.search(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", attributes)))
+
+
+class Open:
+    """The open elements, and where in them those of a name are: so a tag costs the same however deep it stands."""
+
+    def __init__(self) -> None:
+        self.stack = [Element("", frozenset(), False)]
+        self.places: dict[str, list[int]] = {}
+        self.scopes = [0]
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.name, []).append(len(self.stack))
+        if e.name in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(e)
+
+    def last(self, names: Iterable[str]) -> int:
+        """Place of the innermost element of one of the names; 0 without one."""
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
+
+    def cut(self, place: int) -> None:
+        """Ends the element at the place and all inside it."""
+        while len(self.stack) > place:
+            e = self.stack.pop()
+            self.places[e.name].pop()
+            if self.scopes[-1] == len(self.stack):
+                self.scopes.pop()
 
 
 def tokens(page: str) -> Iterator[Token]:
     """Of any page, however damaged: what never ends, ends with the page; end tags without a start are ignored."""
-    top = Element("", frozenset(), False)
-    stack, at, n = [top], 0, len(page)
+    now = Open()
+    at, n = 0, len(page)
 
     def text(a: int, b: int) -> Iterator[Token]:
-        if b > a and not stack[-1].unseen:
+        around = now.stack[-1]
+        if b > a and not around.unseen:
             words = html.unescape(page[a:b])
-            yield Token(words, stack[-1].features, n_words=len(words.split()))
+            yield Token(words, around.features | {"~legal"} if LEGAL.match(words) else around.features, n_words=len(words.split()))
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -89,22 +135,16 @@ def tokens(page: str) -> Iterator[Token]:
         if not name:
             continue
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-            if depth:
-                del stack[depth:]
+            if place := now.last((name,)):
+                now.cut(place)
                 yield Token(tag="/" + name, breaks=name in BLOCK)
             continue
-        ends = CLOSES.get(name)
-        if ends:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in ends:
-                    del stack[i:]
-                elif stack[i].name in SCOPE:
-                    break
+        if (place := now.last(CLOSES.get(name, ()))) > now.scopes[-1]:
+            now.cut(place)
         yield Token(tag=name, breaks=name in BLOCK)
         if name in VOID or m[3].endswith("/") and name not in RAW and name not in FEATURE_TAGS and name not in BLOCK:
-            if name == "br" and not stack[-1].unseen:
-                yield Token(" ", stack[-1].features)
+            if name == "br" and not now.stack[-1].unseen:
+                yield Token(" ", now.stack[-1].features)
             continue
         if name in RAW:
             end = re.compile(rf"(?i)</{name}(?=[\s/>]|\Z)").search(page, at)
@@ -113,7 +153,7 @@ def tokens(page: str) -> Iterator[Token]:
                 at = page.find(">", end.end())
                 at = n if at < 0 else at + 1
             continue
-        stack.append(element(name, m[3], stack[-1]))
+        now.push(element(name, m[3], now.stack[-1]))
 
 
 @dataclass
@@ -121,6 +161,7 @@ class Weights:
     word: dict[str, float] = field(default_factory=dict)
     bias: float = 0.0
     tag: float = -0.5
+    gap: float = 100.0
     known: dict[frozenset, float] = field(default_factory=dict, repr=False)
 
     def score(self, features: frozenset[str]) -> float:
@@ -131,16 +172,32 @@ class Weights:
         return found
 
 
+def best_region(scores: Sequence[float], gap: float) -> tuple[int, int]:
+    """Where the contiguous region with the largest sum begins and ends, by one scan; empty where nothing scores above 0. What stands between two
+    scores above 0 takes away `gap` at most, however long it is: an advert inside an article is no reason to lose half of the article."""
+    best = total = between = 0.0
+    begin, found = 0, (0, 0)
+    for i, s in enumerate(scores):
+        if s <= 0:
+            between -= s
+            continue
+        total -= min(between, gap)
+        if total <= 0:
+            total, begin = 0.0, i
+        between = 0.0
+        total += s
+        if total > best:
+            best, found = total, (begin, i + 1)
+    return found
+
+
 def extract(page: str | None, weights: Weights) -> str:
     """The main text: blocks without inner runs of white space, joined by an empty line."""
-    row = list(tokens(page or ""))
-    best, best_from, best_to, total, begin = 0.0, 0, 0, 0.0, 0
-    for i, t in enumerate(row):
-        total += t.n_words * weights.score(t.features) if t.n_words else weights.tag * bool(t.tag)
-        if total <= 0:
-            total, begin = 0.0, i + 1
-        elif total > best:
-            best, best_from, best_to = total, begin, i + 1
+    return extracted(list(tokens(page or "")), weights)
+
+
+def extracted(row: list[Token], weights: Weights) -> str:
+    best_from, best_to = best_region([t.n_words * weights.score(t.features) if t.n_words else weights.tag * bool(t.tag) for t in row], weights.gap)
     blocks, now = [], []
     for t in row[best_from:best_to]:
         if t.breaks:
@@ -157,6 +214,8 @@ def extract(page: str | None, weights: Weights) -> str:
 FRAME = {
     "nav": ['<nav><ul>{links}</ul></nav>', '<div class="navbar menu">{links}</div>', '<div id="nav">{links}</div>', '<header><div class="logo">{w}</div>{links}</header>', '<div class="breadcrumbs">{links}</div>', '<header id="masthead">{w}</header>', '<div role="navigation">{links}</div>', '<div id="header">{w}{links}</div>', "<menu>{links}</menu>"],
     "noise": ['<div class="ad">{w}</div>', '<div class="advertisement">{w}</div>', '<aside class="sidebar">{p}{links}</aside>', '<aside>{p}</aside>', '<div id="sidebar">{p}{links}</div>', '<div class="cookie-notice">{p}</div>', '<div id="cookie-consent"><p>{w}</p></div>', '<form><label>{w}</label><input></form>', '<div class="newsletter signup"><form><p>{w}</p></form></div>', '<div class="sponsored promo">{p}</div>', '<div class="widget related">{links}</div>', '<div class="social share">{links}</div>', '<div class="banner ads">{w}</div>', '<div class="notice">{w}</div>', '<div class="alert popup">{w}</div>', '<div class="modal overlay">{p}</div>', '<div class="paywall subscribe">{w}</div>', '<div class="popular trending more">{links}</div>', '<div class="notification">{w}</div>', '<dialog>{w}</dialog>', '<div class="recommended recommendations">{links}</div>', '<div class="gdpr">{p}</div>', '<div class="advert">{p}</div>', '<div class="side">{p}</div>', '<div class="promotion sponsor">{p}</div>', '<div class="notices">{p}</div>', '<div class="adverts advertising">{p}</div>'],
+    "legal": ['<div>© 2020 {w}</div>', '<p>Copyright 2021 {w}</p>', '<div class="site-info">All rights reserved. {w}</div>', '<section><p>(c) 2019 {w}</p></section>'],
+    "advert": ['<div class="ad">{long}</div>', '<aside class="promo"><p>{long}</p></aside>', '<div class="advertisement sponsored"><p>{long}</p></div>'],
     "tail": ['<footer>{w}</footer>', '<div id="footer">{w}{links}</div>', '<div class="copyright legal">{w}</div>', '<section class="comments"><h3>{t}</h3>{p}{p}{p}</section>', '<div id="comments" class="discussion">{p}{p}</div>', '<div class="comment"><p>{w}</p></div>', '<div class="respond reply"><form>{w}</form></div>', '<footer><p>{w}</p><p>{w}</p></footer>', '<div id="disqus">{p}</div>', '<div class="pagination">{links}</div>', '<ol class="comment-list replies"><li>{p}</li><li>{p}</li></ol>'],
     "body": ['<article>{mark}</article>', '<article>{mark}</article>', '<main>{mark}</main>', '<div class="content">{mark}</div>', '<div id="content">{mark}</div>', '<div class="post entry">{mark}</div>', '<article class="story"><header>{head}</header>{mark}</article>', '<main><article>{mark}</article></main>', '<section class="article-body">{mark}</section>', '<div id="main"><div class="text">{mark}</div></div>', '<section>{mark}</section>', '<div class="article-content">{mark}</div>', '<div class="page">{mark}</div>', "{mark}"],
 }
@@ -171,24 +230,24 @@ def labelled_pages(n: int, seed: int = 11) -> Iterator[str]:
     words = lambda lo, hi: " ".join(["word"] * int(rng.integers(lo, hi)))
 
     def fill(form: str) -> str:
-        while m := re.search(r"\{(w|p|t|links|head|mark)\}", form):
+        while m := re.search(r"\{(w|p|t|links|head|mark|long)\}", form):
             new = {
-                "w": lambda: words(4, 40), "t": lambda: words(1, 8), "p": lambda: "<p>" + words(5, 40) + "</p>", "head": lambda: MARK.format(f"<h1>{words(2, 9)}</h1>"),
+                "w": lambda: words(4, 40), "long": lambda: words(100, 600), "t": lambda: words(1, 8), "p": lambda: "<p>" + words(5, 40) + "</p>", "head": lambda: MARK.format(f"<h1>{words(2, 9)}</h1>"),
                 "links": lambda: "".join(f'<li><a href="/">{words(1, 4)}</a></li>' for _ in range(int(rng.integers(2, 8)))),
-                "mark": lambda: MARK.format(f"<h1>{words(2, 9)}</h1>" + "".join(fill(pick(PARAGRAPH)) for _ in range(int(rng.integers(1, 9))))) + (fill(pick(FRAME["noise"])) + MARK.format(fill(pick(PARAGRAPH))) if rng.random() < 0.4 else ""),
+                "mark": lambda: MARK.format(f"<h1>{words(2, 9)}</h1>" + "".join(fill(pick(PARAGRAPH)) for _ in range(int(rng.integers(1, 9))))) + (fill(pick(FRAME["noise" if rng.random() < 0.8 else "advert"])) + MARK.format(fill(pick(PARAGRAPH))) if rng.random() < 0.4 else ""),
             }[m[1]]()
             form = form[: m.start()] + new + form[m.end() :]
         return form
 
     for _ in range(n):
         some = lambda k: "".join(fill(pick(FRAME[k])) for _ in range(int(rng.integers(0, 3))))
-        yield f"<html><body>{some('nav')}{some('noise')}{fill(pick(FRAME['body']))}{some('noise')}{some('tail')}</body></html>"
+        yield f"<html><body>{some('nav')}{some('noise')}{fill(pick(FRAME['body']))}{some('noise')}{some('tail')}{some('legal') if rng.random() < 0.5 else ''}</body></html>"
 
 
 @cache
 def learned(pages: int = 1500, steps: int = 400) -> Weights:
     """Words: logistic regression on labelled pages, each combination of features weighted by the roots of its numbers of words.
-    Tags: the one of a few scores with which extract() finds the articles' numbers of words best."""
+    Tags and gaps: those of a few scores with which extract() finds the articles' numbers of words best."""
     seen: dict[frozenset, list[float]] = {}
     for page in labelled_pages(pages):
         inside = False
@@ -214,9 +273,9 @@ def learned(pages: int = 1500, steps: int = 400) -> Weights:
         if np.abs(step).max() < 1e-6:
             break
     word = dict(zip(names, theta[:-1].tolist(), strict=True))
-    probe = [(p.replace("\x02", "").replace("\x03", ""), sum(len(re.sub("<[^>]*>", " ", m).split()) for m in re.findall("(?s)\x02(.*?)\x03", p))) for p in labelled_pages(200, seed=12)]
-    off = lambda w: sum(abs(len(extract(p, w).split()) - n) for p, n in probe)
-    return min((Weights(word, float(theta[-1]), tag) for tag in (-0.25, -0.5, -1.0, -2.0, -4.0)), key=off)
+    probe = [(list(tokens(p.replace("\x02", "").replace("\x03", ""))), sum(len(re.sub("<[^>]*>", " ", m).split()) for m in re.findall("(?s)\x02(.*?)\x03", p))) for p in labelled_pages(200, seed=12)]
+    off = lambda w: sum(abs(len(extracted(p, w).split()) - n) for p, n in probe)
+    return min((Weights(word, float(theta[-1]), tag, gap) for tag in (-0.25, -0.5, -1.0, -2.0, -4.0) for gap in (25.0, 50.0, 100.0, 200.0, 1e9)), key=off)
 
 
 def main_texts(pages: DataFrame, weights: Weights | None = None) -> DataFrame:

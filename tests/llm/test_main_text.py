@@ -1,6 +1,9 @@
+import random
+import time
+
 import pytest
 
-from foliant.llm.main_text import extract, learned, main_texts
+from foliant.llm.main_text import best_region, extract, learned, main_texts
 
 P = "<p>one two three four five six seven eight nine ten</p>"
 T = "one two three four five six seven eight nine ten"
@@ -14,6 +17,12 @@ T = "one two three four five six seven eight nine ten"
     (f"<article><p>a &amp; b &lt;c&gt; &#228;&eacute; x\n\t y<br>z one two three</p><script>var a = '<p>no</p>';</script><style>p {{}}</style>{P}</article>", f"a & b <c> äé x y z one two three\n\n{T}"),
     (f"<article><p><b>{T}<br><p>{T}", f"{T}\n\n{T}"), (f"<article>{P}<!-- hidden <p>words</p> -->{P}<!-- open", f"{T}\n\n{T}"), (f"<article>{P}<script>never ends", T),
     (f"<div id='cookie-consent'><p>we use cookies and more cookies</p></div><article>{P}</article><aside class=sidebar>{P}{P}</aside>", T),
+    (f"<article class='post comments-open category-newsletter'>{P}{P}</article>", f"{T}\n\n{T}"),
+    (f"<body class='has-sidebar'><div class='wrap sidebar-right'><main class='content'>{P}{P}</main><div class='sidebar'>{P}</div></div></body>", f"{T}\n\n{T}"),
+    (f"<article>{P}{P}<div class='ad'><p>{'buy ' * 400}</p></div>{P}{P}</article>", "\n\n".join([T] * 4)),
+    (f"<article>{P}{P}</article><div class='x1'><p>Copyright 2020 some company of some place and all its friends</p></div>", f"{T}\n\n{T}"),
+    (f"<article>{P}<p>Copyright law protects works that people write, draw, sing or build.</p></article>", f"{T}\n\nCopyright law protects works that people write, draw, sing or build."),
+    (f"<article>{P}</article><article class='comment'>{P}</article><ol class='comment-list'><li><article class='comment-body'>{P}</article></li></ol>", T),
     ("<article>a < b and 5 > 3 one two three four five six seven</article>", "a < b and 5 > 3 one two three four five six seven"),
 ])
 def test_pages(page, text):
@@ -30,3 +39,29 @@ def test_query_columns(spark):
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
     assert sorted((tuple(r) for r in main_texts(df).collect()), key=str) == sorted([(1, "u", T, len(T)), (1, "u", T, len(T)), (None, None, "", 0)], key=str)
     assert main_texts(df.where("false")).count() == 0
+
+
+def test_damaged_nesting_is_quick():
+    begin = time.perf_counter()
+    for page in ("<b>" * 50_000 + "</i>" * 50_000, "<p>" + "<b>" * 50_000 + "<li>" * 50_000, "<p>x" * 50_000, "<section>" * 50_000 + "</div>" * 50_000, "<ul><li>" * 30_000 + "</article>" * 50_000):
+        extract(page, learned())
+    assert time.perf_counter() - begin < 10
+    assert extract("</div></p></x>" * 50 + f"<article><p><i>{T}</b></i></section></p></div></article></article>", learned()) == T
+
+
+def test_best_region_equals_brute_force():
+    rng = random.Random(2)
+    for _ in range(400):
+        scores = [rng.choice([-3.0, -1.0, -0.5, 0.0, 1.0, 2.0, 5.0]) for _ in range(rng.randrange(0, 14))]
+        for gap in (0.0, 2.0, 1e9):
+            up = [i for i, s in enumerate(scores) if s > 0]
+
+            def value(a, b):
+                inside = [i for i in up if a <= i <= b]
+                gaps = [min(-sum(scores[i + 1 : j]), gap) for i, j in zip(inside, inside[1:], strict=False)]
+                return sum(scores[i] for i in inside) - sum(gaps)
+
+            begin, end = best_region(scores, gap)
+            want = max((value(a, b) for a in up for b in up if a <= b), default=0.0)
+            assert (value(begin, end - 1) if end else 0.0) == pytest.approx(want)
+            assert not end or (begin in up and end - 1 in up)
