@@ -71,9 +71,13 @@ def pieces(texts: pa.Array) -> Words:
     return Words(low, w.text_at, start, end, np.searchsorted(start, w.text_at))
 
 
+#: Texts by which a tokeniser shows whether it cuts and lower-cases as pieces() does.
+PROBES = ["Don't STOP, Größe 3.5km/h a1b2 _x_ (hi)\tx  y\n\nÄÖÜ ç×÷ über-all 漢字 don’t", " ".join(f"a{chr(c)}b {chr(c)}A {chr(c) * 2} 1{chr(c)}2" for c in range(0x21, 0x7F))]
+
+
 @dataclass
 class WordTokens:
-    """Ids of pieces by the piece's hash."""
+    """Ids of pieces by the piece's hash; of whole texts, if the tokeniser gives PROBES other ids than their pieces."""
 
     path: str
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
@@ -87,6 +91,7 @@ class WordTokens:
 
         tokenizer = Tokenizer.from_file(self.path)
         self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self.by_piece = all(np.array_equal(*x) for x in zip(self.whole(PROBES), self.of_pieces(pa.array(PROBES)), strict=True))
 
     def look_up(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
@@ -96,6 +101,13 @@ class WordTokens:
 
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with END_OF_TEXT after it, and where each text begins."""
+        return self.of_pieces(texts) if self.by_piece else self.whole([x or "" for x in texts.to_pylist()])
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [[*x.ids, END_OF_TEXT] for x in self.encode(texts, add_special_tokens=False)]
+        return np.array([y for x in ids for y in x], np.uint32), np.cumsum([0, *map(len, ids)])
+
+    def of_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         w = pieces(texts)
         distinct, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
         place, known = self.look_up(distinct)
@@ -158,12 +170,12 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capac
 
 
 class Fillings:
-    """What can go beside a largest piece, given how many pieces of each length are left."""
+    """What can go beside a largest piece, given how many pieces of each length are left. exact: all undominated fillings, without width and steps."""
 
-    def __init__(self, counts: np.ndarray, width: int, steps: int) -> None:
+    def __init__(self, counts: np.ndarray, width: int, steps: int, exact: bool = False) -> None:
         self.left: list[int] = counts.tolist()
         self.lengths = sum(1 << x for x, n in enumerate(self.left) if n)  # as bits, for a fast search
-        self.width, self.steps = width, steps
+        self.width, self.steps, self.exact = width, steps, exact
 
     def use(self, size: int, n: int) -> None:
         self.left[size] -= n
@@ -204,7 +216,7 @@ class Fillings:
                         found.append((room, dict(now)))
                 return
             for n in range(min(self.left[x], room // x), -1, -1):
-                if greedy and (steps >= self.steps or len(found) >= self.width):
+                if greedy and not self.exact and (steps >= self.steps or len(found) >= self.width):
                     return
                 if n:
                     now[x] = n
@@ -213,7 +225,7 @@ class Fillings:
                 if n:
                     del now[x]
                     self.use(x, -n)
-                if n * x == room:  # nothing else fills this room better
+                if n * x == room and (n == 1 or not self.exact):  # nothing else fills this room better
                     return
 
         go(room, room)
@@ -238,9 +250,9 @@ Pattern = tuple[dict[int, int], int]
 
 
 def take(space: Fillings, size: int, filling: dict[int, int]) -> Pattern:
-    """Uses the filling with a piece of the size as often as the pieces left allow."""
+    """Uses the filling with a piece of the size as often as the pieces left allow, once in an exact search."""
     pattern = filling | {size: filling.get(size, 0) + 1}
-    times = min(space.left[x] // n for x, n in pattern.items())
+    times = 1 if space.exact else min(space.left[x] // n for x, n in pattern.items())
     for x, n in pattern.items():
         space.use(x, n * times)
     return pattern, times
@@ -257,18 +269,19 @@ def best_fit(counts: np.ndarray, width: int, steps: int) -> list[Pattern]:
     return out
 
 
-def bin_completion(counts: np.ndarray, nodes: int = 3000, width: int = 6, steps: int = 200, per_length: int = 8) -> list[Pattern]:
+def bin_completion(counts: np.ndarray, nodes: int = 3000, width: int = 6, steps: int = 200, per_length: int = 8, exact: bool = False) -> list[Pattern]:
     """Branch and bound over the histogram. The incumbent is the better of two best-fit packings; a branch ends once its waste
     exceeds what a packing with one bin less could have. A dive to a leaf takes at most a node for each distinct length; after `per_length`
-    times as many, and `nodes` at least, the incumbent stands: a whole packing in any case."""
+    times as many, and `nodes` at least, the incumbent stands: a whole packing in any case. exact: no such limits, all undominated
+    fillings of one bin after another, until no packing can have fewer bins; that may take a time exponential in the number of pieces."""
     capacity = len(counts) - 1
-    nodes = max(nodes, per_length * int((counts > 0).sum()))
+    nodes = -1 if exact else max(nodes, per_length * int((counts > 0).sum()))
     total = int((counts * np.arange(capacity + 1)).sum())
     bins = lambda packing: sum(n for _, n in packing)
     low, best = lower_bound(counts), best_fit(counts, 1, 1)
     if bins(best) > low:
         best = min(best, best_fit(counts, width, steps), key=bins)
-    space = Fillings(counts, width, steps)
+    space = Fillings(counts, width, steps, exact)
     packed: list[Pattern] = []
     waste = [0]
     choices: list[Iterator[tuple[int, dict[int, int]]]] = []
@@ -321,8 +334,8 @@ def places(patterns: list[Pattern]) -> dict[str, np.ndarray]:
     return {"key": np.array(key, np.int64)[order], "sequence": np.array(sequence, np.int64)[order], "offset": np.array(offset, np.int64)[order]}
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """A row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, **search: int) -> DataFrame:
+    """A row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset. search: limits of bin_completion(), or exact=True.
 
     Null and empty texts are documents of one token, the end-of-text id. Ids may be null or repeated: every row is packed.
     Ties between pieces of one length go by task and place in it. An empty table gives an empty result. Other columns are not read."""
@@ -333,7 +346,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     histogram = np.zeros(capacity + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
         histogram[row["length"]] = row["n"]
-    table = places(bin_completion(histogram))
+    table = places(bin_completion(histogram, **search))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,15 +2,16 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from foliant.llm.packing import bin_completion, lower_bound, pack
+from foliant.llm.packing import WordTokens, bin_completion, lower_bound, pack
 
 
-def bins(sizes, capacity=20):
+def bins(sizes, capacity=20, **search):
     counts = np.bincount(np.array(sizes, int), minlength=capacity + 1)
-    packed, used = bin_completion(counts), np.zeros(capacity + 1, int)
+    packed, used = bin_completion(counts, **search), np.zeros(capacity + 1, int)
     for pattern, times in packed:
         assert sum(x * n for x, n in pattern.items()) <= capacity
         for x, n in pattern.items():
@@ -31,6 +32,26 @@ def test_close_to_the_bound():
         assert bins(sizes) <= lower_bound(np.bincount(sizes, minlength=21)) + 1
 
 
+def fewest(sizes, capacity):
+    """Fewest bins, by the best last bin of every subset."""
+    best = [(0, 0)] + [(len(sizes) + 1, 0)] * ((1 << len(sizes)) - 1)
+    for subset in range(1, 1 << len(sizes)):
+        for i, x in enumerate(sizes):
+            if subset >> i & 1:
+                n, room = best[subset ^ 1 << i]
+                best[subset] = min(best[subset], (n, room - x) if room >= x else (n + 1, capacity - x), key=lambda b: (b[0], -b[1]))
+    return best[-1][0]
+
+
+def test_exact_search_equals_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        sizes = rng.integers(3, 15, 11).tolist()
+        assert bins(sizes, exact=True) == fewest(sizes, 20) <= bins(sizes)
+    for sizes in ([5, 5, 2, 6, 6, 8, 8, 4, 4], [9, 9, 7, 7, 4, 4, 4, 4, 4, 4, 4]):
+        assert bins(sizes, exact=True) == fewest(sizes, 20)
+
+
 def test_search_reaches_leaves_behind_thousands_of_lengths():
     hard = [6, 7, 7, 9, 10, 11, 11, 12]
     pairs = [x for x in range(5001, 8500) if x % 400]
@@ -63,5 +84,17 @@ def test_pieces_and_places(table, prose):
     assert len(by) <= -(-sum(w[3] for w in want) // capacity) + 1
 
 
-def test_empty_table(table):
+def test_empty_table_and_limits(table):
     assert pack(table([])).count() == 0
+    assert pack(table([(1, "a b"), (2, "c")]), capacity=4, exact=True).count() == pack(table([(1, "a b"), (2, "c")]), capacity=4, width=2, steps=9, nodes=5).count() == 2
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokeniser_gives_its_own_ids(prose, name):
+    path = public_tokenizers.path(name)
+    tokens, tokenizer = WordTokens(path), Tokenizer.from_file(path)
+    assert tokens.by_piece == (name == "word_bpe_49k.json")
+    texts = [prose(50, 1).title(), "", None, "It's  ÄÖÜ\tx-1, 漢字 <|endoftext|>"]
+    ids, at = tokens.documents(pa.array(texts))
+    for t, a, b in zip(texts, at, at[1:], strict=False):
+        assert ids[a:b].tolist() == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
