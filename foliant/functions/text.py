@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U32 = 0xFFFFFFFF
@@ -107,9 +107,20 @@ def code_units(x: Column) -> Column:
 
 
 def utf8_bytes(x: Column) -> Column:
+    """Bytes of a text, as numbers; of ASCII texts without the way through hex digits."""
+    plain = F.transform(F.split(x, ""), lambda c: F.ascii(c).cast("bigint"))
+    return F.when((F.octet_length(x) == F.length(x)) & (x != ""), plain).otherwise(_hex_bytes(x))
+
+
+def _hex_bytes(x: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.hex(F.encode(x, "UTF-8")), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("bigint"))
 
 
+def utf16_length(x: Column) -> Column:
+    """UTF-16 code units: a character beyond the basic plane counts twice."""
+    return F.length(x) + F.regexp_count(x, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
 def fnv1a64(x: Column) -> Column:
     """FNV-1a of the UTF-8 bytes, as a signed number. The prime is 2^40 + 435; products are taken by halves, so nothing overflows."""
 
@@ -123,8 +134,8 @@ def fnv1a64(x: Column) -> Column:
 
 
 def djb2_hex(x: Column) -> Column:
-    """hash * 33 xor unit over UTF-16 code units from 5381, 32 bits, upper-case hex."""
-    return F.hex(F.aggregate(code_units(x), F.lit(5381).cast("bigint"), lambda h, c: (h * 33).bitwiseAND(U32).bitwiseXOR(c)))
+    """hash * 33 xor unit over UTF-16 code units from 5381, 32 bits, as eight upper-case hex digits."""
+    return F.lpad(F.hex(F.aggregate(code_units(x), F.lit(5381).cast("bigint"), lambda h, c: (h * 33).bitwiseAND(U32).bitwiseXOR(c))), 8, "0")
 
 
 def fingerprint(x: Column) -> Column:
@@ -144,6 +155,12 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+def each(df: DataFrame, array: str | Column, name: str, *keep: str) -> DataFrame:
+    """A row for each element of an array, with seq, its place from 0. By an outer explode, as Spark would push the filter that it infers for an inner one
+    below the array's own expressions and evaluate them twice and more."""
+    return df.select(*keep, F.posexplode_outer(array).alias("seq", name)).where(F.col(name).isNotNull())
+
+
 def chain(x: Column, *steps: tuple[str, str] | Callable[[Column], Column]) -> Column:
     """Replacements (expression, replacement) or functions, one after another."""
     for step in steps:

@@ -98,11 +98,11 @@ def repeated_ids(rows: DataFrame, key: str) -> DataFrame:
 
 
 def file_tree(files: DataFrame, path: str = "file_path", root: str = "") -> DataFrame:
-    """A row for each file and folder: path, name, parent, depth, is_dir and files below. Order: parent, is_dir descending, name."""
+    """A row for each file and folder: path, name, parent, depth, is_dir and files below; by parent, folders first, then by name."""
     clean = F.filter(F.split(F.regexp_replace(F.regexp_replace(F.col(path), r"\\", "/"), "^" + root, ""), "/+"), lambda p: ~p.isin("", ".", ".."))
     parts = files.select(clean.alias("p")).where("size(p) > 0")
     nodes = parts.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.struct(F.array_join(F.slice("p", F.lit(1), k), "/").alias("path"), F.get("p", k - 1).alias("name"), F.array_join(F.slice("p", F.lit(1), k - 1), "/").alias("parent"), k.alias("depth"), (k < F.size("p")).alias("is_dir")))).alias("n"))
-    return nodes.groupBy("n.path", "n.name", "n.parent", "n.depth", "n.is_dir").agg(F.count("*").alias("n_files"))
+    return nodes.groupBy("n.path", "n.name", "n.parent", "n.depth", "n.is_dir").agg(F.count("*").alias("n_files")).orderBy("parent", F.desc("is_dir"), "name")
 
 
 def latest(history: DataFrame, key: str, at: str) -> DataFrame:

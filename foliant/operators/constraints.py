@@ -1,12 +1,12 @@
-"""Hard constraints that a document states: which, and where."""
+"""Hard constraints that a document states: which, and where; and answers that go against them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.spans import with_all_spans
-from foliant.functions.text import line_of, strip
+from foliant.functions.text import djb2_hex, each, line_of, strip
 
 # Category, severity, expressions.
 CONSTRAINTS = (
@@ -21,17 +21,60 @@ CONSTRAINTS = (
 )
 
 
-def hard_constraints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each constraint of each document: key, category, severity, constraint_text, line and column (in characters)."""
-    df = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+# Words of an answer that go against a constraint of the category, and how grave that is.
+CONFLICTS = {
+    "offline_only": ("blocking", ("cloud", "online", "remote", "api", "web service", "internet", "server", "saas")),
+    "max_length": ("warning", ("ausführlich", "detailliert", "umfangreich", "lang", "comprehensive", "detailed", "long", "extensive")),
+    "language": ("blocking", ("englisch", "english", "französisch", "french", "spanisch", "spanish")),
+    "no_examples": ("warning", ("beispiel", "beispiele", "example", "examples", "muster", "vorlage", "template")),
+    "tool_restriction": ("blocking", ("docker", "npm install", "pip install", "apt-get", "package")),
+    "approval_required": ("blocking", ("automatisch", "automatic", "auto-deploy", "deployen", "ohne freigabe", "ohne genehmigung", "ohne review", "skip review", "auto-merge")),
+    "format_lock": ("warning", ("markdown", "plain text", "csv", "yaml", "xml", "html", "text")),
+    "scope_boundary": ("blocking", ("refactoring", "refactor", "umbau", "restructure", "rewrite")),
+}
+#: Constraints of these categories are never loosened without a person's approval.
+SECURITY = ("offline_only", "approval_required", "scope_boundary")
+RESOLUTIONS = {True: ("keep_constraint", "require_human_approval", "save_as_review"), False: ("keep_constraint", "change_constraint", "save_as_review")}
+
+
+def with_constraints(docs: DataFrame, text: str = "text", name: str = "constraints") -> DataFrame:
+    """docs with an array of constraints in the order of CONSTRAINTS, then of their places: id, category, severity, constraint_text, line and column (in characters).
+
+    The id is a hash of what and where a constraint is. A null text has none."""
+    df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     rules = {f"_c{i}": rule for i, rule in enumerate((c, s, "(?iu)" + p) for c, s, ps in CONSTRAINTS for p in ps)}
     df = with_all_spans(df, "_text", {n: (p, F.col("_text").rlike(p)) for n, (_, _, p) in rules.items()})
 
-    def described(name: str, category: str, severity: str) -> Column:
+    def described(n: str, category: str, severity: str) -> Column:
         before = lambda x: F.substring(F.col("_text"), F.lit(1), x["start"])
-        place = lambda x: (line_of(F.col("_text"), x["start"]).alias("line"), (F.length(F.substring_index(before(x), "\n", -1)) + 1).alias("column"))
-        return F.transform(name, lambda x: F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity"), strip(x["hit"]).alias("constraint_text"), *place(x)))
+        column = lambda x: F.length(F.substring_index(before(x), "\n", -1)) + 1
+        return F.transform(n, lambda x: F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity"), strip(x["hit"]).alias("constraint_text"), line_of(F.col("_text"), x["start"]).alias("line"), column(x).alias("column")))
 
     names = list(rules)
-    df = df.withColumns({n: described(n, c, s) for n, (c, s, _) in rules.items()})
-    return df.select(F.col("_key").alias(key), F.explode(F.concat(*names)).alias("c")).select(key, "c.*")
+    df = df.withColumns({n: described(n, c, s) for n, (c, s, _) in rules.items()}).withColumn("_text", F.concat(*names))
+    key = lambda c: F.concat(F.lit("HC_"), djb2_hex(F.concat_ws(":", c["category"], c["constraint_text"], c["line"].cast("string"), c["column"].cast("string"))))
+    rows = F.transform("_text", lambda c: F.struct(key(c).alias("id"), *(c[f].alias(f) for f in ("category", "severity", "constraint_text", "line", "column"))))
+    return df.withColumn(name, rows).drop("_text", *names)
+
+
+def hard_constraints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each constraint of each document: key, seq (its place among them, from 0), id, category, severity, constraint_text, line and column."""
+    return each(with_constraints(docs.select(key, text), text, "_all"), "_all", "c", key).select(key, "seq", "c.*")
+
+
+def resolutions(category: Column) -> Column:
+    """Ids of what a user may choose for a conflict with a constraint."""
+    return F.when(category.isin(*SECURITY), F.array(*map(F.lit, RESOLUTIONS[True]))).otherwise(F.array(*map(F.lit, RESOLUTIONS[False])))
+
+
+def conflicts(found: DataFrame, answers: DataFrame, key: str = "doc_id", order: str = "item_id") -> DataFrame:
+    """Constraints (of hard_constraints()) and answers (key, order, value) of one document that go against each other: key, id, constraint_id, category, keyword,
+    source, severity, description and resolutions. Ids count a document's conflicts in the order of constraints, then of answers. Null answers have none."""
+    rules = F.create_map(*(x for c, (severity, words) in CONFLICTS.items() for x in (F.lit(c), F.struct(F.lit(severity).alias("severity"), F.array(*map(F.lit, words)).alias("words")))))
+    rule = F.element_at(rules, F.col("category"))
+    own = answers.select(key, F.col(order).alias("_order"), F.col("value").alias("source"))
+    both = found.join(own, key).withColumn("keyword", F.get(F.filter(rule["words"], lambda w: F.contains(F.lower("source"), w)), F.lit(0))).where("keyword is not null")
+    hard = F.concat(F.lit('Die Antwort "'), "source", F.lit('" kollidiert mit der harten Regel "'), "constraint_text", F.lit('".'))
+    soft = F.concat(F.lit('Die Antwort "'), "source", F.lit('" steht im Konflikt mit der Regel "'), "constraint_text", F.lit('".'))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("seq", "_order", "source"))
+    return both.select(key, F.concat(F.lit("CC_"), F.lpad(number.cast("string"), 3, "0")).alias("id"), F.col("id").alias("constraint_id"), "category", "keyword", "source", rule["severity"].alias("severity"), F.when(F.col("severity") == "hard", hard).otherwise(soft).alias("description"), resolutions(F.col("category")).alias("resolutions"))

@@ -8,17 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import strip, truncate_bytes
+from foliant.operators import contradictions
 from foliant.operators.features import MODERATE, NONE, STRONG, WEAK, extracted, ladder
+from foliant.operators.recommendations import reasons, recommendations
 
 MOST_BYTES = 100_000
 
-# Fixed values. R: required, -: not applicable, a number: optional, and the score where nothing speaks for or against it.
+# Fixed values. R: required, X: not applicable, a number: optional, and the score where nothing speaks for or against it.
 DIMENSIONS = ("Goal", "Context", "Input", "Output", "Constraint", "Actionability", "Ambiguity", "Consistency", "Completeness", "Noise", "Safety", "Reuse")
+R, X = -1, -2
 APPLIES = {
-    "Guideline": "R R - R R R R R R R - R", "Template": "R 10 R R 10 8 R R R R - R", "Translation": "R 10 R R 10 8 R R R R - 8", "Summarization": "R 10 R R 10 8 R R R R - 8", "Extraction": "R 10 R R 10 8 R R R R - 8",
-    "Transformation": "R 10 R R 10 8 R R R R - 8", "Classification": "R 10 R R 10 8 R R R R - 8", "Generation": "R R 8 R 10 8 R R R R - 8", "Planning": "R R R R R R R R R R - -", "Analysis": "R R R R 10 8 R R R R - -",
-    "Coding": "R R R R R 8 R R R R - 8", "AgentWorkflow": "R R R R R R R R R R - 8", "GeneralTask": "R R - R 10 8 R R R R - -",
-}
+    "Guideline": (R, R, X, R, R, R, R, R, R, R, X, R),
+    "Template": (R, 10, R, R, 10, 8, R, R, R, R, X, R),
+    "Translation": (R, 10, R, R, 10, 8, R, R, R, R, X, 8),
+    "Summarization": (R, 10, R, R, 10, 8, R, R, R, R, X, 8),
+    "Extraction": (R, 10, R, R, 10, 8, R, R, R, R, X, 8),
+    "Transformation": (R, 10, R, R, 10, 8, R, R, R, R, X, 8),
+    "Classification": (R, 10, R, R, 10, 8, R, R, R, R, X, 8),
+    "Generation": (R, R, 8, R, 10, 8, R, R, R, R, X, 8),
+    "Planning": (R, R, R, R, R, R, R, R, R, R, X, X),
+    "Analysis": (R, R, R, R, 10, 8, R, R, R, R, X, X),
+    "Coding": (R, R, R, R, R, 8, R, R, R, R, X, 8),
+    "AgentWorkflow": (R, R, R, R, R, R, R, R, R, R, X, 8),
+    "GeneralTask": (R, R, X, R, 10, 8, R, R, R, R, X, X),
+}
 TASK_CRITERIA = {"Zieldefinition": "Goal", "Kontextqualität": "Context", "Eingabendefinition": "Input", "Vorgehensbeschreibung": "Actionability", "Ausgabeformat": "Output", "Qualitätsanforderungen": "Constraint", "Sicherheitsgrenzen": "Safety", "Klarheit": "Ambiguity", "Wiederverwendbarkeit": "Reuse"}
 ROLE = "Rollendefinition"
 GUIDELINE_CRITERIA = {"Scope/Zweck": ("Goal", "Context"), "Regel-Spezifität": ("Actionability",), "Constraint-Klarheit": ("Constraint",), "Anwendbarkeit": ("Context",), "Output-Disziplin": ("Output",), "Konsistenz/Struktur": ("Consistency", "Ambiguity"), "Sicherheitsgrenzen": ("Safety",), "Wiederverwendbarkeit": ("Reuse",)}
@@ -30,15 +43,23 @@ def f(name: str) -> Column:
     return F.col(f"features.{name}")
 
 
+def kind() -> Column:
+    """The kind of task, of tasks, else the kind of document."""
+    return F.when(F.col("content_kind") == "Task", F.col("prompt_type")).otherwise(F.col("content_kind"))
+
+
+def by_kind() -> dict[str, Column]:
+    """For each dimension, what APPLIES says of the document's kind."""
+    table = F.create_map(*(x for k, row in APPLIES.items() for x in (F.lit(k), F.array(*map(F.lit, row)))))
+    return {d: F.get(F.element_at(table, kind()), F.lit(i)) for i, d in enumerate(DIMENSIONS)}
+
+
 def applicability() -> dict[str, Column]:
-    """For each dimension: -2 not applicable, -1 required, else the neutral score of an optional one."""
-    kind = F.when(F.col("content_kind") == "Task", F.col("prompt_type")).otherwise(F.col("content_kind"))
-    code = {"R": -1, "-": -2}
-    table = F.create_map(*(x for k, row in APPLIES.items() for x in (F.lit(k), F.array(*(F.lit(code[c]) if c in code else F.lit(int(c)) for c in row.split())))))
-    base = {d: F.get(F.element_at(table, kind), F.lit(i)) for i, d in enumerate(DIMENSIONS)}
+    """For each dimension: X not applicable, R required, else the neutral score of an optional one."""
+    base = by_kind()
     known = {"Goal": f("goal_statement") > NONE, "Context": f("context_substance") > NONE, "Output": f("output_contract") > NONE, "Actionability": f("procedure_steps") > NONE, "Constraint": f("relevant_constraints") + f("boilerplate_constraints") > 0}
     out = {d: F.when(known[d], -1).otherwise(base[d]) if d in known else base[d] for d in DIMENSIONS}
-    out["Input"] = F.when(f("placeholder_count") > 0, -1).when((f("input_present") > NONE) & (base["Input"] == -2), 8).otherwise(base["Input"])
+    out["Input"] = F.when(f("placeholder_count") > 0, -1).when((f("input_present") > NONE) & (base["Input"] == X), 8).otherwise(base["Input"])
     out["Safety"] = F.when(f("safety_relevant"), -1).otherwise(-2)
     return out
 
@@ -97,25 +118,28 @@ def capped(d: str, score: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(10.0), score.cast("double")))
 
 
-def evaluated(docs: DataFrame, text: str = "text", weight: Column | None = None, critical: Column | None = None) -> DataFrame:
-    """docs with dimensions (name, score, applicable), overall_score, criteria and missing_sections, besides the columns of features.
+def evaluated(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with dimensions (name, score, applicable), overall_score, criteria, missing_sections, recommendations and na_reasons, besides the columns of
+    features and of contradictions.
 
-    weight, critical: of contradictions that are known, none by default. Texts count up to MOST_BYTES; blank ones score 0 and miss everything.
-    Columns of the same names are replaced."""
-    weight, critical = (F.lit(0) if weight is None else weight), (F.lit(False) if critical is None else critical)
-    df = extracted(docs.withColumns({"_text": truncate_bytes(F.coalesce(F.col(text), F.lit("")), MOST_BYTES), "_w": weight, "_c": critical}), "_text")
+    Texts count up to MOST_BYTES; blank ones score 0, miss everything and get no advice. Columns of the same names are replaced."""
+    df = contradictions.detected(docs.withColumn("_text", truncate_bytes(F.coalesce(F.col(text), F.lit("")), MOST_BYTES)), "_text")
+    df = extracted(df.withColumns({"_w": F.col("conflict_weight"), "_c": F.col("has_critical_conflict")}), "_text")
     df = df.withColumn("_poor", poor(F.col("_w"), F.col("_c"))).withColumn("_app", F.struct(*(c.alias(d) for d, c in applicability().items())))
     app = {d: F.col(f"_app.{d}") for d in DIMENSIONS}
     scores = ladders(app, F.col("_w"), F.col("_c"))
     df = df.withColumn("_s", F.struct(*(capped(d, scores[d]).alias(d) for d in DIMENSIONS)))
     blank = strip(F.col("_text")) == ""
-    dims = F.array(*(F.struct(F.lit(d).alias("name"), F.col(f"_s.{d}").alias("score"), (app[d] != -2).alias("applicable")) for d in DIMENSIONS))
+    dims = F.array(*(F.struct(F.lit(d).alias("name"), F.col(f"_s.{d}").alias("score"), (app[d] != X).alias("applicable")) for d in DIMENSIONS))
     total = F.aggregate(F.filter(dims, lambda x: x["applicable"]), F.lit(0.0), lambda a, x: a + x["score"])
     mean = total / F.greatest(F.size(F.filter(dims, lambda x: x["applicable"])), F.lit(1))
     overall = F.round(mean * 10).cast("int")
     overall = F.when((F.col("_w") >= 6) | F.col("_c"), F.least(overall, F.lit(45))).otherwise(overall)
     df = df.withColumn("dimensions", dims).withColumn("overall_score", F.when(blank, 0).otherwise(overall))
     df = df.withColumn("criteria", F.when(blank, no_content()).when(F.col("content_kind") == "Task", task_criteria(app)).otherwise(guideline_criteria()))
+    counts = {d: app[d] != X for d in DIMENSIONS}
+    advice = recommendations({d: F.col(f"_s.{d}") for d in DIMENSIONS}, counts, f, F.col("language"), F.col("conflicts"))
+    df = df.withColumns({"recommendations": F.when(blank, F.expr("cast(array() as array<string>)")).otherwise(advice), "na_reasons": reasons({d: c == X for d, c in by_kind().items()}, kind())})
     missing = F.filter("criteria", lambda c: (c["name"] != ROLE) & (c["score"] < 3) & c["applicable"])
     everything = F.array(*(F.lit(n) for n in (ROLE, *TASK_CRITERIA)))
     return df.withColumn("missing_sections", F.when(blank, everything).otherwise(F.transform(missing, lambda c: c["name"]))).drop("_text", "_w", "_c", "_poor", "_app", "_s")
@@ -130,10 +154,10 @@ def no_content() -> Column:
 
 
 def task_criteria(app: dict[str, Column]) -> Column:
-    n = sum(((app[d] != -2).cast("int") for d in TASK_CRITERIA.values()), F.lit(0))
+    n = sum(((app[d] != X).cast("int") for d in TASK_CRITERIA.values()), F.lit(0))
     role = criterion(ROLE, ladder((f("role_present") == STRONG, 10.0), (f("role_present") == MODERATE, 7.0), (f("role_present") == WEAK, 4.0), default=2.0), F.lit(0.0), F.lit(True))
-    weight = lambda d: F.when(app[d] != -2, 1 / F.greatest(n, F.lit(1))).when(n == 0, 0.1).otherwise(0.0)
-    return F.array(role, *(criterion(name, F.col(f"_s.{d}"), weight(d), app[d] != -2) for name, d in TASK_CRITERIA.items()))
+    weight = lambda d: F.when(app[d] != X, 1 / F.greatest(n, F.lit(1))).when(n == 0, 0.1).otherwise(0.0)
+    return F.array(role, *(criterion(name, F.col(f"_s.{d}"), weight(d), app[d] != X) for name, d in TASK_CRITERIA.items()))
 
 
 def guideline_criteria() -> Column:

@@ -13,15 +13,23 @@ DIMENSIONS = 64
 K1, B = 1.2, 0.75
 
 
-def embed(text: Column) -> Column:
-    """array<float>: each token of two bytes or more adds 1 or -1 in a bucket, by its FNV hash; of length 1, or zero for texts without tokens."""
-    hashes = F.transform(F.filter(tokens(text), lambda t: F.octet_length(t) >= 2), fnv1a64)
-    bucket = lambda h: h.bitwiseAND(DIMENSIONS - 1)
-    sign = lambda h: F.when(h < 0, -1.0).otherwise(1.0)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda d: F.aggregate(F.filter(hashes, lambda h: bucket(h) == d), F.lit(0.0), lambda a, h: a + sign(h)))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    unit = lambda v: F.transform(v, lambda x: F.when(norm(v) > 0, x / norm(v)).otherwise(0.0).cast("float"))
-    return unit(raw)
+def embedded(docs: DataFrame, text: str = "text", name: str = "embedding") -> DataFrame:
+    """docs with an array<float>: each token of two bytes or more adds 1 or -1 in a bucket, by its FNV hash; of length 1, or zero for texts without tokens.
+
+    A document's distinct tokens are hashed once each; what a bucket gets is told by where its numbers begin among all of them in order. Columns of the same name are replaced."""
+    counted = F.array_sort(F.filter(tokens(F.col(text)), lambda t: F.octet_length(t) >= 2))
+    df = docs.withColumn("_tokens", F.coalesce(counted, F.expr("cast(array() as array<string>)"))).withColumn("_distinct", F.array_distinct("_tokens"))
+    code = lambda h: h.bitwiseAND(DIMENSIONS - 1) + F.when(h < 0, DIMENSIONS).otherwise(0)
+    by_token = F.map_from_arrays("_distinct", F.transform("_distinct", lambda t: code(fnv1a64(t))))
+    df = df.withColumn("_code", by_token)
+    marks = F.sequence(F.lit(0), F.lit(2 * DIMENSIONS)).cast("array<bigint>")
+    df = df.withColumn("_code", F.array_sort(F.concat(F.transform("_tokens", lambda t: F.element_at("_code", t)), marks)))
+    df = df.withColumn("_at", F.transform(marks, lambda m: F.array_position("_code", m)))
+    number = lambda k: F.get("_at", k + 1) - F.get("_at", k) - 1
+    df = df.withColumn("_sum", F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda k: (number(k) - number(k + DIMENSIONS)).cast("double")))
+    df = df.withColumn("_norm", F.sqrt(F.aggregate("_sum", F.lit(0.0), lambda a, x: a + x * x)))
+    unit = F.transform("_sum", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(0.0).cast("float"))
+    return df.withColumn(name, unit).drop("_tokens", "_distinct", "_code", "_at", "_sum", "_norm")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import collections as C
-from foliant.operators import constraints, hygiene, metrics, quality, redaction, retrieval, rewrite, router
-from foliant.sources import files
+from foliant.operators import constraints, hygiene, metrics, redaction, retrieval, rewrite, router
+from foliant.sources import exports, files
 from foliant.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,15 +51,26 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def counts_of(name: str, patterns: list[hygiene.Pattern]) -> None:
-    """How often each document has artifacts of the patterns."""
+    """How many artifacts of the patterns each document has, of which severities, what they matched, and (of the first) where."""
+    plain = [p for p in patterns if not p.keep and not p.match]
+    whole = len(plain) == len(patterns)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = hygiene.detected(decorated(spark, sf_dir), "text", {f"_{i}": p for i, p in enumerate(patterns)})
-        return df.select("doc_id", sum((F.size(f"_{i}") for i in range(len(patterns))), F.lit(0)).cast("bigint").alias("n"))
+        every = F.concat(*(F.col(f"_{i}") for i in range(len(patterns))))
+        first = F.get(F.col("_0"), F.lit(0))
+        out = df.select("doc_id", F.size(every).cast("bigint").alias("n"), F.array_join(F.array_sort(F.array_distinct(F.transform(every, lambda a: a["severity"]))), ",").alias("severities"), first["line"].alias("line"), first["column"].alias("col"), F.array_join(F.transform(every, lambda a: a["match"]), chr(1)).alias("matches"))
+        return out if whole else out.drop("matches")
 
     quote = lambda p: "'" + p.replace("'", "''") + "'"
+    found = [f"regexp_extract_all(text, {quote(p.pattern)})" for p in patterns]
+    severities = "list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN len({f}) > 0 THEN '{p.severity}' END" for f, p in zip(found, patterns, strict=True)) + "], lambda x: x IS NOT NULL)))"
+    before = f"left(text, length(regexp_extract(text, {quote('(?s)^(.*?)(?:' + patterns[0].pattern + ')')}, 1)))"
+    place = lambda x: f"CASE WHEN len({found[0]}) > 0 THEN CAST({x} AS INT) END"
+    line, column = place(f"len(string_split({before}, chr(10)))"), place(f"strlen(string_split({before}, chr(10))[-1]) + 1")
+    matches = f", array_to_string(flatten([{', '.join(found)}]), chr(1)) AS matches" if whole else ""
     QUERIES[name] = run
-    ORACLES[name] = f"SELECT doc_id, CAST({' + '.join(f'len(regexp_extract_all(text, {quote(p.pattern)}))' for p in patterns)} AS BIGINT) AS n FROM (SELECT doc_id, {DECORATED} AS text FROM documents)"
+    ORACLES[name] = f"SELECT doc_id, CAST({' + '.join(f'len({f})' for f in found)} AS BIGINT) AS n, array_to_string({severities}, ',') AS severities, {line} AS line, {column} AS col{matches} FROM (SELECT doc_id, {DECORATED} AS text FROM documents)"
 
 
 by_category = lambda c: [p for p in (*hygiene.BEFORE_JSON, hygiene.EMAILS, *hygiene.AFTER_PHONE, *hygiene.EVIDENCE_BLOCKS) if p.category == c]
@@ -87,17 +98,6 @@ def hygiene_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "hygiene_score", "hygiene_status", F.size("artifacts").alias("n_artifacts"), F.array_join(F.array_sort(F.array_distinct(F.transform("artifacts", lambda a: a["category"]))), ",").alias("categories"))
 
 
-@query("route_documents")
-def route_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return router.routed(decorated(spark, sf_dir)).select("doc_id", "content_kind", "prompt_type", "language", F.round("route_confidence", 6).alias("confidence"))
-
-
-@query("quality_scores")
-def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.evaluated(decorated(spark, sf_dir))
-    return found.select("doc_id", "content_kind", "prompt_type", "overall_score", F.array_join("missing_sections", ",").alias("missing"), *(F.get("dimensions", F.lit(i))["score"].alias(d.lower()) for i, d in enumerate(quality.DIMENSIONS)))
-
-
 def _stopword_sum(words: tuple[str, ...]) -> str:
     return " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in words)
 
@@ -124,7 +124,17 @@ def text_primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["text_primitives"] = ORACLES["text_primitives"].replace("list_distinct(", "list_sort(list_distinct(").replace("'\\{(\\w+)\\}', 1))", "'\\{(\\w+)\\}', 1)))")
 
 
-@query("fingerprints")
+_UNITS = "flatten(list_transform(string_split(coalesce(text, ''), ''), lambda c: CASE WHEN c = '' THEN [] WHEN unicode(c) > 65535 THEN [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)] ELSE [unicode(c)] END))"
+_BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::INT::HUGEINT)"
+
+
+@query("fingerprints", f"""
+WITH u AS (SELECT doc_id, text, list_transform({_UNITS}, lambda x: x::BIGINT) AS u FROM documents)
+SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'empty' ELSE len(u) || ':' || printf('%08x', list_reduce(list_prepend(0::BIGINT, u), lambda h, c: (h * 31 + c) & 4294967295)) END AS fingerprint,
+  printf('%08X', list_reduce(list_prepend(5381::BIGINT, u), lambda h, c: xor((h * 33) & 4294967295, c))) AS djb2,
+  CAST(CASE WHEN f >= 9223372036854775808 THEN f - 18446744073709551616 ELSE f END AS BIGINT) AS fnv1a
+FROM (SELECT *, list_reduce(list_prepend(14695981039346656037::HUGEINT, {_BYTES}), lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616) AS f FROM u)
+""")
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", T.fingerprint(F.col("text")).alias("fingerprint"), T.djb2_hex(F.col("text")).alias("djb2"), T.fnv1a64(F.col("text")).alias("fnv1a"))
 
@@ -196,7 +206,10 @@ def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.repeated_ids(table(spark, sf_dir, "conversations"), "conv_id")
 
 
-@query("file_tree")
+@query("file_tree", r"""
+WITH p AS (SELECT list_filter(regexp_split_to_array(regexp_replace(url, '^\w+://|[?#].*$', '', 'g'), '[/\\]+'), lambda x: x NOT IN ('', '.', '..')) AS p FROM pages), n AS (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM p)
+SELECT array_to_string(p[1:k], '/') AS path, p[k] AS name, array_to_string(p[1:k - 1], '/') AS parent, CAST(k AS INT) AS depth, k < len(p) AS is_dir, count(*) AS n_files FROM n GROUP BY ALL ORDER BY parent, is_dir DESC, name
+""")
 def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.file_tree(table(spark, sf_dir, "pages").select(F.regexp_replace("url", r"^\w+://|[?#].*$", "").alias("file_path")))
 
@@ -232,9 +245,18 @@ def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.nearest(vectors, first[0] if first else [])
 
 
-@query("embed_documents")
+FNV_SQL = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(0, len(hex(encode({x}))) // 2), lambda i: ('0x' || substr(hex(encode({x})), 2 * i + 1, 2))::INT::HUGEINT)), lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616)"
+
+
+@query("embed_documents", f"""
+WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: strlen(t) >= 2)) AS term FROM documents),
+     h AS (SELECT term, {FNV_SQL.format(x="term")} AS h FROM (SELECT DISTINCT term FROM t)),
+     b AS (SELECT doc_id, CAST(h % 64 AS INT) AS bucket, CAST(sum(CASE WHEN h >= 9223372036854775808 THEN -1 ELSE 1 END) AS DOUBLE) AS v FROM t JOIN h USING (term) GROUP BY ALL)
+SELECT doc_id, bucket, round(CAST(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM b WHERE v <> 0
+""")
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", retrieval.embed(F.col("text")).alias("embedding"))
+    found = retrieval.embedded(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.posexplode("embedding").alias("bucket", "value"))
+    return found.where("value != 0").select("doc_id", "bucket", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
 @query("lexical_search", """
@@ -291,9 +313,13 @@ def pairwise_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.pairwise_verdict(metrics.pairwise(pairs, df.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))))
 
 
-@query("verbatim_overlap", "SELECT doc_id FROM documents WHERE lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) IN (SELECT k FROM (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k FROM benchmark UNION ALL SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) FROM conversations) WHERE length(k) >= 20)")
+_SQUEEZED = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+
+
+@query("verbatim_overlap", f"SELECT doc_id FROM documents WHERE {_SQUEEZED.format('text')} IN (SELECT k FROM (SELECT {_SQUEEZED.format('text')} AS k FROM benchmark UNION ALL SELECT {_SQUEEZED.format('text')} FROM conversations UNION ALL SELECT {_SQUEEZED.format('text')} FROM documents WHERE lang = 'de' AND n_chars < 400) WHERE length(k) >= 20)")
 def verbatim_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    other = table(spark, sf_dir, "benchmark").select("text").union(table(spark, sf_dir, "conversations").select("text"))
+    short = docs(spark, sf_dir).where("lang = 'de' and n_chars < 400").select(F.concat(F.lit(" \t"), F.upper("text"), F.lit("\n")).alias("text"))
+    other = table(spark, sf_dir, "benchmark").select("text").union(table(spark, sf_dir, "conversations").select("text")).union(short)
     return metrics.verbatim_overlap(docs(spark, sf_dir), other).select("doc_id")
 
 
@@ -312,12 +338,18 @@ def to_text(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
-@query("speakable")
+_SPOKEN = rf"regexp_replace(regexp_replace({replaced('t', redaction.SPOKEN)}, '\s{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query("speakable", f"SELECT doc_id, CASE WHEN length(s) > 500 THEN left(s, 497) || '...' ELSE s END AS spoken FROM (SELECT doc_id, {_SPOKEN} AS s FROM (SELECT doc_id, {DECORATED} AS t FROM documents))")
 def speakable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decorated(spark, sf_dir).select("doc_id", redaction.speakable(F.col("text")).alias("spoken"))
 
 
-@query("sanitize_answers")
+_CLEAN = [(r"(?m)^#{1,6}\s+", ""), (r"<[^>]*>", ""), (r"(^|[^\\])`", r"\1\\`"), (r"(^|[^\\])`", r"\1\\`"), (r"(?i)\[([^\]]*)\]\((?:javascript|data):(?:[^()]|\([^()]*\))*\)", r"[\1]"), (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")]
+
+
+@query("sanitize_answers", f"SELECT page_id, sha256(CASE WHEN length(x) > 5000 THEN left(x, 5000) || '…' ELSE x END) AS digest FROM (SELECT page_id, {replaced('html', _CLEAN)} AS x FROM pages)")
 def sanitize_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", to_text(redaction.sanitize_answer(F.col("html"))).alias("digest"))
 
@@ -327,7 +359,13 @@ def redact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", redaction.redact_path(F.col("url")).alias("path"))
 
 
-@query("conservative_cleanup")
+#: The texts have no fenced code, which the tests of restructure.py hold.
+@query("conservative_cleanup", rf"""
+WITH a AS (SELECT doc_id, {DECORATED} AS t FROM documents), b AS (SELECT doc_id, t, list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '[ \t]+$', '')) AS l FROM a),
+     c AS (SELECT doc_id, t, list_filter(l, lambda x, i: NOT (i > 1 AND trim(x) = '' AND trim(l[i - 1]) = '')) AS l FROM b), e AS (SELECT doc_id, t, list_transform(l, lambda x: regexp_replace(x, '^(\s*)[*+]\s', '\1- ')) AS l FROM c),
+     f AS (SELECT doc_id, t, array_to_string(list_transform(l, lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '^#{{1,3}}\s') AND trim(l[i - 1]) <> '' AND NOT regexp_matches(l[i - 1], '^#{{1,3}}\s') THEN chr(10) || x ELSE x END), chr(10)) AS r FROM e)
+SELECT doc_id, sha256(CASE WHEN trim(t, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN '' WHEN r LIKE '%' || chr(10) THEN r ELSE r || chr(10) END) AS digest FROM f
+""")
 def conservative_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decorated(spark, sf_dir).select("doc_id", to_text(rewrite.conservative(F.col("text"))).alias("digest"))
 
@@ -338,19 +376,62 @@ def markdown_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.size("m.headings").cast("bigint").alias("n_headings"), F.col("m.total_lines").cast("bigint").alias("total_lines"))
 
 
-@query("export_json", "SELECT doc_id, lang FROM documents")
+def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the store has them, with scores for some."""
+    d = docs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 100).cast("int").alias("quality_score")), "doc_id", "left")
+    return d.select(
+        F.col("doc_id").cast("string").alias("id"), F.concat_ws("/", F.lit("../v"), "source", F.concat("doc_id", F.lit(".md"))).alias("file_path"), F.concat("source", F.lit(' "x"')).alias("title"), F.lit("a\nb").alias("description"), F.when(F.col("lang") != "en", F.col("lang")).otherwise(" ").alias("category"),
+        F.lit("1.0").alias("version"), F.array("lang", "source").alias("tags"), F.col("text").alias("content"), F.lit("t0").alias("created_at"), F.lit("t1").alias("updated_at"), "quality_score", F.when(F.col("n_chars") > 500, 80).alias("hygiene_score"), F.lit("{}").alias("raw_frontmatter"),
+    )
+
+
+EXPORTED = """(SELECT CAST(d.doc_id AS VARCHAR) AS id, '../v/' || source || '/' || d.doc_id || '.md' AS file_path, source || ' "x"' AS title, 'a' || chr(10) || 'b' AS description, CASE WHEN lang <> 'en' THEN lang ELSE ' ' END AS category, '1.0' AS version, lang, source, text AS content,
+  CAST(quality * 100 AS INT) AS quality_score, CASE WHEN n_chars > 500 THEN 80 END AS hygiene_score FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+EXPORT_SCHEMA = "id string, file_path string, title string, description string, category string, tags array<string>, content string, quality_score int, hygiene_score int"
+
+
+@query("export_json", f"SELECT id, file_path, title, description, category, lang || ',' || source AS tags, sha256(coalesce(content, '')) AS digest, quality_score, hygiene_score, quality_score IS NULL AS no_quality FROM {EXPORTED}")
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = files.export_json(docs(spark, sf_dir).select("doc_id", "lang"))
-    return out.select(F.from_json("value", "doc_id bigint, lang string").alias("r")).select("r.*")
+    out = exports.entries(exported(spark, sf_dir)).select("value", F.from_json("value", EXPORT_SCHEMA).alias("r"))
+    return out.select("r.id", "r.file_path", "r.title", "r.description", "r.category", F.array_join("r.tags", ",").alias("tags"), to_text(F.coalesce("r.content", F.lit(""))).alias("digest"), "r.quality_score", "r.hygiene_score", (~F.contains("value", F.lit('"quality_score":'))).alias("no_quality"))
 
 
-@query("export_markdown")
+@query("export_web", f"SELECT id, CASE WHEN trim(category) = '' THEN 'uncategorized' ELSE category END AS category, quality_score, quality_score IS NULL AS null_quality FROM {EXPORTED}")
+def export_web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exports.entries(exported(spark, sf_dir), web=True).select("value", F.from_json("value", EXPORT_SCHEMA).alias("r"))
+    return out.select("r.id", "r.category", "r.quality_score", F.contains("value", F.lit('"quality_score":null')).alias("null_quality"))
+
+
+@query("export_markdown", f"""
+SELECT id, sha256('---' || chr(10) || 'title: "' || replace(title, '"', chr(92) || '"') || '"' || chr(10) || 'description: "a' || chr(92) || 'nb"' || chr(10) || 'category: "' || category || '"' || chr(10) || 'version: "1.0"' || chr(10)
+  || 'tags: ["' || lang || '","' || source || '"]' || chr(10) || 'created_at: "t0"' || chr(10) || 'updated_at: "t1"' || chr(10) || '# quality_score: ' || coalesce(CAST(quality_score AS VARCHAR), '—') || chr(10) || '# hygiene_score: ' || coalesce(CAST(hygiene_score AS VARCHAR), '—') || chr(10)
+  || '---' || chr(10) || chr(10) || coalesce(content, '')) AS digest FROM {EXPORTED}
+""")
 def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.col("lang").alias("category"), F.lit("1.0").alias("version"), F.lit(None).cast("int").alias("overall_score"), F.lit(80).alias("hygiene_score"), F.col("text").alias("content"))
-    return files.export_markdown(df).select("id", to_text(F.col("value")).alias("digest"))
+    return exports.markdown(exported(spark, sf_dir)).select("id", to_text(F.col("value")).alias("digest"))
+
 
+@query("export_server", f"SELECT id, '# ' || title || chr(10) || chr(10) || '- Kategorie: ' || category || chr(10) || '- Version: 1.0' || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS value, (SELECT count(*) FROM documents) AS n FROM {EXPORTED}")
+def export_server(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, n = exports.served(exported(spark, sf_dir), "md")
+    return rows.withColumn("n", F.lit(n).cast("bigint"))
 
-@query("debounced_events")
+
+@query("export_files", f"SELECT id, 'v/' || source || '/' || id || '.md' AS path, sha256(coalesce(content, '')) AS digest FROM {EXPORTED}")
+def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.reconstructed(exported(spark, sf_dir)).select("id", "path", to_text(F.col("value")).alias("digest"))
+
+
+@query("yaml_escape", f"SELECT id, sha256(replace(replace(replace(coalesce(content, ''), chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n')) AS digest FROM {EXPORTED}")
+def yaml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exported(spark, sf_dir).select("id", to_text(exports.escaped(F.col("content"))).alias("digest"))
+
+
+@query("debounced_events", """
+WITH RECURSIVE e AS (SELECT user_id AS key, epoch_ms(ts) AS at_ms FROM events),
+  d AS (SELECT key, min(at_ms) AS at_ms FROM e GROUP BY key UNION ALL SELECT d.key, min(e.at_ms) FROM d JOIN e ON e.key = d.key AND e.at_ms >= d.at_ms + 60000 GROUP BY d.key)
+SELECT key, at_ms FROM d
+""")
 def debounced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.debounced_batch(table(spark, sf_dir, "events"), "user_id", "ts", 60_000)
 
@@ -361,3 +442,6 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = df.where("n_chars > 200").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash"))
     after = df.where("n_chars < 5000").select(F.col("doc_id").alias("path"), F.sha2(F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("hash"))
     return watch.snapshot_changes(before, after)
+
+
+from foliant.plans import prompts  # noqa: E402, F401  (its queries are added to these)

@@ -1,10 +1,8 @@
-"""Document folders as DataFrames: scan, front matter, metadata, Markdown structure; and exports."""
+"""Document folders as DataFrames: scan, front matter, metadata, Markdown structure."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,35 +124,3 @@ def markdown_structure(text: Column) -> Column:
     outside = F.filter(numbered, lambda s: s["x"].rlike(r"^#{1,6}\s+\S") & ~F.exists(pairs, lambda p: (s["line"] >= p["start"]) & (s["line"] <= p["end"])))
     headings = F.transform(outside, lambda s: F.struct(F.length(F.regexp_extract(s["x"], "^(#+)", 1)).alias("level"), strip(F.regexp_replace(s["x"], "^#+", "")).alias("text"), s["line"].alias("line")))
     return F.struct(headings.alias("headings"), fences.alias("code_blocks"), F.size(lines).alias("total_lines"))
-
-
-def export_json(docs: DataFrame, keep_nulls: bool = False) -> DataFrame:
-    """One JSON object a document; absent scores are left out, or null."""
-    return docs.select(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": str(not keep_nulls).lower()}).alias("value"))
-
-
-def export_markdown(docs: DataFrame) -> DataFrame:
-    """One Markdown document each: a YAML header, scores as comments (— where there are none), and the content."""
-    quote = lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    score = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—"))
-    head = F.concat(*(x for c in ("title", "category", "version") for x in (F.lit(f"{c}: "), quote(c), F.lit("\n"))))
-    return docs.select("id", F.concat(F.lit("---\n"), head, F.lit("---\n\n<!-- quality: "), score("overall_score"), F.lit(", hygiene: "), score("hygiene_score"), F.lit(" -->\n\n"), F.col("content"), F.lit("\n")).alias("value"))
-
-
-def write_zip(docs: DataFrame, target: str) -> int:
-    """The export of a selection as a ZIP file on the driver, streamed document by document: Markdown files and index.json."""
-    import re
-    import zipfile
-
-    def rows() -> Iterator:
-        return docs.select("id", "title", "category").join(export_markdown(docs), "id").orderBy("category", "title", "id").toLocalIterator()
-
-    safe = lambda x: re.sub(r"[^\w.-]+", "_", x or "untitled").strip("._") or "untitled"
-    index = []
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
-        for r in rows():
-            name = f"{safe(r['category'])}/{safe(r['title'])}-{r['id'][:8]}.md"
-            archive.writestr(name, r["value"])
-            index.append({"id": r["id"], "file": name})
-        archive.writestr("index.json", json.dumps(index, ensure_ascii=False))
-    return len(index)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,36 +25,50 @@ def named(events: DataFrame, kind: str = "kind") -> DataFrame:
     return events.withColumn("change", F.element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), F.col(kind))).where("change is not null")
 
 
-def debounced(events: DataFrame, key: str = "path", at: str = "ts", quiet_ms: int = 500) -> DataFrame:
-    """Of each key's events, those at least quiet_ms after the last one that was passed on. events: key (string) and at (timestamp), batch or stream."""
+def debounced(events: DataFrame, key: str = "path", at: str = "ts", quiet_ms: int = 500, forget_ms: int = 600_000) -> DataFrame:
+    """Of each key's events, those at least quiet_ms after the last one that was passed on. events: key (string) and at (timestamp), a stream.
+
+    What a key's last event was is forgotten once none has come for forget_ms (or quiet_ms, if that is longer)."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        times = sorted(t for b in batches for t in b["at"])
         out = []
-        for t in times:
+        for t in sorted(t for b in batches for t in b["at"]):
             ms = t.value // 1_000_000
             if last is None or ms - last >= quiet_ms:
                 out.append(t)
                 last = ms
         if last is not None:
             state.update((last,))
+            state.setTimeoutDuration(max(forget_ms, quiet_ms))
         yield pd.DataFrame({"key": [k[0]] * len(out), "at": pd.Series(out, dtype="datetime64[ns]")})
 
     rows = events.select(F.col(key).alias("key"), F.col(at).alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, at timestamp", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(run, "key string, at timestamp", "last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def debounced_batch(events: DataFrame, key: str, at: str, quiet_ms: int = 500) -> DataFrame:
-    """As debounced(), for a table. A fold over each key's sorted times; keys are independent."""
-    ms = F.unix_millis(F.col(at).cast("timestamp"))
-
-    def step(a, t):
-        passes = a["last"].isNull() | (t - a["last"] >= quiet_ms)
-        return F.struct(F.when(passes, t).otherwise(a["last"]).alias("last"), F.when(passes, F.concat(a["out"], F.array(t))).otherwise(a["out"]).alias("out"))
-
-    start = F.expr("named_struct('last', cast(null as bigint), 'out', cast(array() as array<bigint>))")
-    return events.groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_list(ms)).alias("times")).select("key", F.explode(F.aggregate("times", start, step)["out"]).alias("at_ms"))
+    """As debounced(), for a table: key and at_ms. Null times are left out.
+
+    Keys are dealt and sorted by Spark, which spills, and each task reads its rows once, holding one key and one time; a key's events depend on each
+    other in their order, so that a key is one task's work."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = last = None
+        for batch in batches:
+            keys, times = batch.column("key").to_pylist(), batch.column("at_ms").to_pylist()
+            kept = []
+            for i, (k, t) in enumerate(zip(keys, times, strict=True)):
+                if last is None or k != now or t - last >= quiet_ms:
+                    kept.append(i)
+                    now, last = k, t
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rows = events.select(F.col(key).alias("key"), F.unix_millis(F.col(at).cast("timestamp")).alias("at_ms")).where("at_ms is not null")
+    return rows.repartition("key").sortWithinPartitions("key", "at_ms").mapInArrow(run, rows.schema)
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame, key: str = "path", value: str = "hash") -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 import uuid
 
 import pytest
@@ -45,22 +46,22 @@ def test_retrieval(spark):
         from tests.test_text import fnv
 
         v = [0.0] * 64
-        for t in text.lower().split():
+        for t in (t for t in text.lower().split() if len(t.encode()) >= 2):
             h = fnv(t.encode())
             v[h % 64] += -1.0 if h < 0 else 1.0
         n = math.sqrt(sum(x * x for x in v))
         return [x / n if n else 0.0 for x in v]
 
-    df = spark.createDataFrame([(1, "red apples grow"), (2, "blue sky"), (3, "red red sky apple"), (4, "")], "doc_id bigint, text string")
-    for r in df.select("text", retrieval.embed(F.col("text")).alias("e")).collect():
+    df = spark.createDataFrame([(1, "red apples grow"), (2, "blue sky"), (3, "red red sky apple"), (4, ""), (5, "größe größe a ÄÖ ok")], "doc_id bigint, text string")
+    for r in retrieval.embedded(df, name="e").collect():
         assert r.e == pytest.approx(embed(r.text), abs=1e-6)
-    vectors = df.select(F.col("doc_id").alias("vec_id"), retrieval.embed(F.col("text")).alias("embedding"))
+    vectors = retrieval.embedded(df).withColumnRenamed("doc_id", "vec_id")
     assert [r.vec_id for r in retrieval.nearest(vectors, embed("blue sky"), 2).collect()] == [2, 3]
     index = retrieval.postings(df, "doc_id", ("text",))
-    assert [r.doc_id for r in retrieval.search(df, index, "red app").collect()] == [3, 1] and retrieval.search(df, index, " ").count() == 4 and retrieval.search(df, index, "red zzz").count() == 0
+    assert [r.doc_id for r in retrieval.search(df, index, "red app").collect()] == [3, 1] and retrieval.search(df, index, " ").count() == 5 and retrieval.search(df, index, "red zzz").count() == 0
     docs = df.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("t").alias("updated_at"), (F.col("doc_id") == 2).alias("is_sensitive"))
     stored = docs.where("id = 1").select("id", retrieval.content_hash(F.col("content"), F.col("updated_at")).alias("content_hash"))
-    assert {r.id: r.todo for r in retrieval.to_reindex(docs, stored).collect()} == {1: "skipped_unchanged", 2: "skipped_sensitive", 3: "indexed", 4: "indexed"}
+    assert {r.id: r.todo for r in retrieval.to_reindex(docs, stored).collect()} == {1: "skipped_unchanged", 2: "skipped_sensitive", 3: "indexed", 4: "indexed", 5: "indexed"}
 
 
 def test_metrics(spark):
@@ -105,9 +106,6 @@ def test_sources(spark, tmp_path):
     text = "# A\n```py\n# no\n```\n## B\n```\nopen"
     m = spark.createDataFrame([(text,)], "t string").select(files.markdown_structure(F.col("t")).alias("m")).first().m
     assert [(h.level, h.text, h.line) for h in m.headings] == [(1, "A", 1), (2, "B", 5)] and [(c.language, c.start, c.end, c.lines) for c in m.code_blocks] == [("py", 2, 4, 1), ("", 6, 7, 0)] and m.total_lines == 7
-    docs = files.scan(spark, str(tmp_path)).withColumns({"overall_score": F.lit(None).cast("int"), "hygiene_score": F.lit(90)})
-    assert files.write_zip(docs, str(tmp_path / "out.zip")) == 4
-    assert '"overall_score"' not in files.export_json(docs).first().value and '"overall_score":null' in files.export_json(docs, keep_nulls=True).first().value
 
 
 def test_change_feeds(spark, tmp_path):
@@ -121,3 +119,25 @@ def test_change_feeds(spark, tmp_path):
     assert sorted((r.key, r.ms) for r in spark.sql("select key, unix_millis(at) ms from debounced").collect()) == want
     before, after = (spark.createDataFrame(x, "path string, hash string") for x in ([("a", "1"), ("b", "1"), ("c", "1")], [("a", "1"), ("b", "2"), ("d", "1")]))
     assert sorted(map(tuple, watch.snapshot_changes(before, after).collect())) == [("b", "modified"), ("c", "removed"), ("d", "added")]
+
+
+def test_ranks_do_not_depend_on_parts(spark):
+    rng = random.Random(3)
+    values = [rng.randrange(40) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "v int")
+    want = {v: sum(x < v for x in values) + (values.count(v) + 1) / 2 for v in values}
+    for parts in (1, 7, 64):
+        assert all(r.r == want[r.v] for r in metrics.average_rank(df, "v", "r", parts).collect())
+    assert metrics.average_rank(df.where("false"), "v", "r").count() == 0
+
+
+def test_debounced_batch_equals_a_loop(spark):
+    rng = random.Random(4)
+    rows = [(f"u{rng.randrange(5)}", rng.randrange(20_000)) for _ in range(400)] + [(None, 5), (None, 90), ("u1", None)]
+    df = spark.createDataFrame(rows, "k string, ms bigint").selectExpr("k", "timestamp_millis(ms) AS t")
+    want, last = [], {}
+    for k, ms in sorted((r for r in rows if r[1] is not None), key=lambda r: r[1]):
+        if k not in last or ms - last[k] >= 500:
+            want.append((k, ms))
+            last[k] = ms
+    assert sorted(map(tuple, watch.debounced_batch(df, "k", "t").collect()), key=str) == sorted(want, key=str)

@@ -42,9 +42,11 @@ def test_criteria(found):
 
 
 def test_contradictions_lower_scores(spark):
-    df = spark.createDataFrame([(0,), (3,), (6,)], "w int").coalesce(1).withColumn("text", F.lit(TERSE))
-    got = {r.w: r.overall_score for r in quality.evaluated(df, weight=F.col("w")).collect()}
-    assert got[0] - got[3] >= 3 and got[6] <= 45
+    more = {"none": "", "light": " Keep it long with at most 9 words. Keep it long with at least 99 words.", "heavy": " Write it in English."}
+    df = spark.createDataFrame([(k, TERSE + v) for k, v in more.items()], "name string, text string").coalesce(1)
+    got = {r.name: (r.conflict_weight, r.overall_score) for r in quality.evaluated(df).collect()}
+    assert [got[k][0] for k in more] == [0, 3, 6]
+    assert got["none"][1] - got["light"][1] >= 3 and got["heavy"][1] <= 45
 
 
 def test_empty_table(spark):

@@ -29,7 +29,7 @@ def test_hashes(spark, s):
     for u in units:
         h31 = (h31 * 31 + u) & 0xFFFFFFFF
     assert one(spark, s, T.fnv1a64) == fnv(s.encode())
-    assert one(spark, s, T.djb2_hex) == f"{djb2:X}"
+    assert one(spark, s, T.djb2_hex) == f"{djb2:08X}"
     assert one(spark, s, T.fingerprint) == (f"{len(units)}:{h31:08x}" if s else "empty")
 
 
