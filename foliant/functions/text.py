@@ -161,6 +161,12 @@ def each(df: DataFrame, array: str | Column, name: str, *keep: str) -> DataFrame
     return df.select(*keep, F.posexplode_outer(array).alias("seq", name)).where(F.col(name).isNotNull())
 
 
+def pinned(column: str, x: Column) -> Column:
+    """x, which names an array column once, inside a lambda: with a second mention, which isn't known to hold before it runs, Spark keeps the column
+    instead of evaluating its expression for each element."""
+    return F.when(F.size(column) >= 0, x)
+
+
 def chain(x: Column, *steps: tuple[str, str] | Callable[[Column], Column]) -> Column:
     """Replacements (expression, replacement) or functions, one after another."""
     for step in steps:

@@ -239,8 +239,7 @@ def matching(pattern: str) -> str:
 def without_placeholders(text: Column) -> Column:
     """Without the sections that hold nothing but white space, comments or a placeholder; what stands before the first heading stays."""
     heading = r"#{1,3}[^\S\n]"
-    pieces = F.split(text, rf"(?<=\n)(?={heading})", -1)
-    pieces = F.transform(pieces, lambda p, i: F.struct(F.when(i < F.size(pieces) - 1, F.regexp_replace(p, r"\n\z", "")).otherwise(p).alias("p"), i.alias("i")))
+    pieces = F.split(text, rf"\n(?={heading})", -1)
 
     def hollow(body: Column) -> Column:
         rest = squeeze(F.regexp_replace(body, r"<!--[\s\S]*?-->", ""))
@@ -250,11 +249,10 @@ def without_placeholders(text: Column) -> Column:
         return (rest == "") | ((F.length(rest) < 60) & alone)
 
     def kept(x: Column) -> Column:
-        section = x["p"].rlike(rf"\A{heading}")
-        lines = F.instr(x["p"], "\n")
-        return ~section | (lines == 0) | ~hollow(F.substring(x["p"], lines + 1, F.length(x["p"])))
+        lines = F.instr(x, "\n")
+        return ~x.rlike(rf"\A{heading}") | (lines == 0) | ~hollow(F.substring(x, lines + 1, F.length(x)))
 
-    return F.array_join(F.transform(F.filter(pieces, kept), lambda x: x["p"]), "\n")
+    return F.array_join(F.filter(pieces, kept), "\n")
 
 
 def without_code(text: Column) -> Column:

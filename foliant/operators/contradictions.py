@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import alternation, rx, strip
+from foliant.functions.text import alternation, pinned, rx, strip
 from foliant.operators.features import NEGATORS
 
 MOST_MANDATES = 60
@@ -283,7 +283,7 @@ def detected(docs: DataFrame, text: str = "text") -> DataFrame:
     df = mandates(docs, text, "_mandates")
     lit = lambda name, c, w, crit: F.struct(F.lit(name).alias("topic"), F.lit(c).alias("class"), F.lit(w).alias("weight"), F.lit(crit).alias("critical"))
     present = F.array_distinct(F.transform(F.filter("_mandates", lambda m: m["topic"].isNotNull() & (m["polarity"] != 0)), lambda m: m["topic"]))
-    rows = F.filter(F.array(*(lit(n, *row) for n, row in CONFLICTS.items())), lambda t: F.array_contains(F.col("_present"), t["topic"]))
+    rows = pinned("_present", F.filter(F.array(*(lit(n, *row) for n, row in CONFLICTS.items())), lambda t: F.array_contains(F.col("_present"), t["topic"])))
     df = df.withColumns({"_present": present, "_many": many_formats(F.col("_mandates")), "_prose": prose_and_format(F.col("_mandates"))})
     by_topic = F.transform(rows, lambda t: F.struct(t.alias("t"), F.filter("_mandates", lambda m: (m["topic"] == t["topic"]) & (m["polarity"] != 0)).alias("ms")))
     df = df.withColumn("_by_topic", by_topic)

@@ -255,8 +255,8 @@ WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text),
 SELECT doc_id, bucket, round(CAST(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM b WHERE v <> 0
 """)
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.embedded(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.posexplode("embedding").alias("bucket", "value"))
-    return found.where("value != 0").select("doc_id", "bucket", F.round(F.col("value").cast("double"), 5).alias("value"))
+    found = T.each(retrieval.embedded(docs(spark, sf_dir).select("doc_id", "text")), "embedding", "value", "doc_id")
+    return found.where("value != 0").select("doc_id", F.col("seq").alias("bucket"), F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
 @query("lexical_search", """
