@@ -15,6 +15,14 @@ def rx(pattern: str, flags: str = "") -> str:
     return f"(?U{flags}){pattern}"
 
 
+ASCII_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def plain_rx(pattern: str, flags: str = "iu") -> str:
+    r"""An expression that means ASCII by \w, \d and \s; \b, which Java takes by Unicode before version 19, is written out."""
+    return f"(?{flags})" + pattern.replace(r"\b", ASCII_EDGE)
+
+
 def alternation(words: Iterable[str]) -> str:
     """One expression for any of some literal words, longer ones first."""
     special = ".^$*+?()[]{}|\\-"

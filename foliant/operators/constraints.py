@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.spans import with_all_spans
-from foliant.functions.text import djb2_hex, each, line_of, strip
+from foliant.functions.text import djb2_hex, each, line_of, plain_rx, strip
 
 # Category, severity, expressions.
 CONSTRAINTS = (
@@ -42,7 +42,7 @@ def with_constraints(docs: DataFrame, text: str = "text", name: str = "constrain
 
     The id is a hash of what and where a constraint is. A null text has none."""
     df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    rules = {f"_c{i}": rule for i, rule in enumerate((c, s, "(?iu)" + p) for c, s, ps in CONSTRAINTS for p in ps)}
+    rules = {f"_c{i}": rule for i, rule in enumerate((c, s, plain_rx(p)) for c, s, ps in CONSTRAINTS for p in ps)}
     df = with_all_spans(df, "_text", {n: (p, F.col("_text").rlike(p)) for n, (_, _, p) in rules.items()})
 
     def described(n: str, category: str, severity: str) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import half_up, squeeze, strip, utf16_length
+from foliant.functions.text import half_up, plain_rx, squeeze, strip, utf16_length
 
 # Expressions that results depend on. Upper and lower case are equal; ^ and $ are ends of lines.
 FENCE = r"```[\s\S]*?```"
@@ -233,7 +233,7 @@ CORE = ("Task Clarity", "Goal Definition", "Language Clarity")
 
 
 def matching(pattern: str) -> str:
-    return "(?ium)" + pattern
+    return plain_rx(pattern, "ium")
 
 
 def without_placeholders(text: Column) -> Column:
@@ -245,7 +245,7 @@ def without_placeholders(text: Column) -> Column:
         rest = squeeze(F.regexp_replace(body, r"<!--[\s\S]*?-->", ""))
         alone = F.lit(False)
         for p in PLACEHOLDERS:
-            alone = alone | rest.rlike(rf"(?iu)^\s*(?:{p})\s*$")
+            alone = alone | rest.rlike(plain_rx(rf"^\s*(?:{p})\s*$"))
         return (rest == "") | ((F.length(rest) < 60) & alone)
 
     def kept(x: Column) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import each, rx, strip
+from foliant.functions.text import each, plain_rx, strip
 from foliant.operators.constraints import CONSTRAINTS, SECURITY, resolutions, with_constraints
 
 MOST_VARIANTS = 5
@@ -125,7 +125,7 @@ def validated(made: DataFrame) -> DataFrame:
     """variants() with what must hold of each: original_unchanged, constraints_preserved, no_cloud_references, constraints_listed and content_different."""
     df = with_constraints(with_constraints(made, "source", "_before"), "content", "_after")
     categories = lambda c: F.transform(c, lambda x: x["category"])
-    cloud = sum((F.col("content").rlike(rx(p, "i")).cast("int") for p in CLOUD), F.lit(0)) > 0
+    cloud = sum((F.col("content").rlike(plain_rx(p)).cast("int") for p in CLOUD), F.lit(0)) > 0
     return df.withColumns({
         "original_unchanged": (F.col("source") != F.col("content")) | (F.col("source") == ""), "constraints_preserved": F.size(F.array_except(categories("_before"), categories("_after"))) == 0,
         "no_cloud_references": ~F.array_contains(categories("_before"), "offline_only") | ~cloud,
