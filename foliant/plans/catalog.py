@@ -36,8 +36,14 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores, dealt to all of them, as analysis takes milliseconds a document; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).withColumn("text", F.expr(DECORATED))
+    return spread(docs(spark, sf_dir)).withColumn("text", F.expr(DECORATED))
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions.text import each
 from foliant.operators import blueprints, constraints, context, contradictions, directions, features, gaps, hygiene, metrics, quality, recommendations, restructure, router, store
 from foliant.plans import quality_sql
-from foliant.plans.catalog import docs, query, table
+from foliant.plans.catalog import docs, query, spread, table
 
 PROMPTS = (
     "# Task\nImplement the login module in src/auth.rs. Return as JSON.\n## Constraints\nDo not use cloud. Never skip tests.\n## Verification\nRun cargo test and verify that all tests pass.\n",
@@ -33,7 +33,7 @@ PROMPTED = COMBINED.format(n=len(PROMPTS) + 1, cases=" ".join(f"WHEN {i} THEN {l
 
 
 def prompted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.expr(PROMPTED).alias("text"))
+    return spread(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.expr(PROMPTED).alias("text"))
 
 
 def matches(column: str, patterns: dict[str, str]) -> str:
@@ -221,7 +221,7 @@ CONFLICT_CTES = f"""{MANDATES},
 
 @query("contradictions", f"WITH c AS (SELECT doc_id, {CONTRARY} AS t FROM documents), {CONFLICT_CTES} SELECT doc_id, coalesce(string_agg(topic, ',' ORDER BY topic), '') AS topics, least(coalesce(sum(weight), 0), 12)::INT AS weight, coalesce(bool_or(critical), false) AS critical FROM documents LEFT JOIN al USING (doc_id) GROUP BY doc_id")
 def contradicting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = contradictions.detected(docs(spark, sf_dir).select("doc_id", F.expr(CONTRARY).alias("text")))
+    f = contradictions.detected(spread(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.expr(CONTRARY).alias("text")))
     return f.select("doc_id", F.array_join(F.array_sort(F.transform("conflicts", lambda c: c["topic"])), ",").alias("topics"), F.col("conflict_weight").alias("weight"), F.col("has_critical_conflict").alias("critical"))
 
 
