@@ -434,7 +434,7 @@ def yaml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("debounced_events", """
-WITH RECURSIVE e AS (SELECT user_id AS key, epoch_ms(ts) AS at_ms FROM events),
+WITH RECURSIVE e AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS at_ms FROM events),
   d AS (SELECT key, min(at_ms) AS at_ms FROM e GROUP BY key UNION ALL SELECT d.key, min(e.at_ms) FROM d JOIN e ON e.key = d.key AND e.at_ms >= d.at_ms + 60000 GROUP BY d.key)
 SELECT key, at_ms FROM d
 """)
