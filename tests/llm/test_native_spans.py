@@ -1,3 +1,5 @@
+import itertools
+import os
 import random
 
 import pytest
@@ -93,3 +95,19 @@ def test_long_instances_differ_by_what_comes_last(spark, table):
     one = [r.instances[0] for r in found]
     assert all(len(r.instances) == 1 and (x.start, x.end) == (52, 52 + len(long) + 8) for r, x in zip(found, one, strict=True))
     assert len({x.value for x in one}) == len({x["shape"] for x in one}) == len({x.before for x in one}) == len({x.after for x in one}) == 2
+
+
+def test_keys_planted_in_the_drivers_table_are_found(spark):
+    """Random keys of 24 characters and more behind whole documents of sf0.01; the documents' own words stay out."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no such table")
+    rng = random.Random(11)
+    planted = {i: "".join(rng.choice(LETTERS) for _ in range(n)) for i, n in zip(range(3, 993, 11), itertools.cycle((24, 32, 40)), strict=False)}
+    keys = spark.createDataFrame(list(planted.items()), "doc_id bigint, planted string")
+    docs = spark.read.parquet(path).select("doc_id", "text").join(keys, "doc_id", "left").selectExpr("doc_id", "planted", "concat_ws(' ', coalesce(text, ''), planted) AS text", "length(coalesce(text, '')) AS n").cache()
+    spans = {r.doc_id: {s for s in r.spans.split(",") if s.startswith("random")} for r in secret_scan.secrets(docs).collect()}
+    place = {r.doc_id: f"random:{r.n + 1}:{r.n + 1 + len(r.planted)}" for r in docs.where("planted is not null").collect()}
+    docs.unpersist()
+    assert sum(place[i] in spans[i] for i in planted) >= 0.9 * len(planted)
+    assert sum(len(s) for s in spans.values()) <= 1.1 * len(planted)
