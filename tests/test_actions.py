@@ -120,4 +120,4 @@ def test_gaps_and_tiers(spark):
     assert sum(q.tier == "REQUIRED" for q in agent.questions) == 5 and agent.overflow.required > 0 and sum(q.tier == "OPTIONAL" for q in agent.questions) <= 10
     assert any(g.question == "Wer ist die Zielgruppe dieses Prompts?" and g.source == "blueprint" for g in agent.gaps) and agent.overflow.recommended > 0
     assert len({g.label.lower() for g in agent.gaps}) == len(agent.gaps) and agent.gaps[0].id == "MISS_PRO_001"
-    assert any(q.source == "hygiene" and q.input_type == "boolean" for q in r["rich"].questions)
+    assert any(g.source == "hygiene" and g.input_type == "boolean" for g in r["rich"].gaps)
