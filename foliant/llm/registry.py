@@ -1,6 +1,6 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from foliant.llm import bag_minhash, exact_dedup, main_text, packing, piece_codec, pii, positional_index, secret_scan, substring_dedup, toxicity, vector_codes, warc
+from foliant.llm import bag_minhash, bucket_histogram, exact_dedup, main_text, packing, piece_codec, pii, positional_index, secret_scan, substring_dedup, toxicity, vector_codes, warc
 
 MODULES = {
     "op1_warc_normaliser": warc,
@@ -15,6 +15,7 @@ MODULES = {
     "op10_bag_minhash": bag_minhash,
     "op11_offset_pieces": piece_codec,
     "op12_vector_codes": vector_codes,
+    "op13_bucket_histogram": bucket_histogram,
 }
 
 QUERIES = {name: module.query for name, module in MODULES.items()}
