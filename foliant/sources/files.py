@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
-import json
-import pandas as pd
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from foliant.functions.text import strip
+from foliant.sources.exports import checked_root
+from foliant.sources.folder import DEPTH, FolderSource
+from foliant.sources.front_matter import yaml_as_json
 
 MOST_BYTES = 1 << 20
 FRONT_MATTER = r"(?s)^---\s*\n(.*?)\n?---\s*\n?(.*)"
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
-def scan(spark: SparkSession, folder: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Text files below a folder, as documents in the order of their paths. Larger files and files that aren't UTF-8 are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    texts = files.where(F.col("path").rlike(r"(?i)\.(?:md|markdown|txt)$") & (F.col("length") <= most_bytes)).where(F.is_valid_utf8(F.col("content").cast("string")))
-    path = F.regexp_replace("path", "^file:/+", "/")
-    return documents(texts.select(path.alias("file_path"), F.col("content").cast("string").alias("raw"), F.col("modificationTime").alias("modified"))).orderBy("file_path")
+def entries(spark: SparkSession, folder: str, most_bytes: int = MOST_BYTES, depth: int = DEPTH, roots: tuple[str, ...] | None = None) -> DataFrame:
+    """A row for each text file below a folder, and for each thing that can't be read or followed: file_path, length, modified, content and reason.
+
+    A folder that all executors see is checked and walked by folder.FolderSource, by its rules of depth and links. Folders of other file systems
+    (a path with a scheme) have no links; Spark's own source lists them."""
+    if not re.match("[a-z][a-z0-9+.-]*:", folder):
+        spark.dataSource.register(FolderSource)
+        real = checked_root(folder, roots)
+        return spark.read.format("document_folder").option("path", real).option("most_bytes", most_bytes).option("depth", depth).load()
+    base = folder.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).where(F.col("path").rlike(r"(?i)\.(?:md|markdown|txt)$"))
+    below = F.size(F.split(F.regexp_replace("path", "^[a-z0-9+.-]+:/*", ""), "/")) - F.size(F.split(F.regexp_replace(F.lit(base), "^[a-z0-9+.-]+:/*", ""), "/"))
+    reason = F.when(below > depth, "too_deep").when(F.col("length") > most_bytes, "too_large").when(~F.is_valid_utf8(F.col("content").cast("string")), "not_text")
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("file_path"), "length", F.col("modificationTime").alias("modified"), "content", reason.alias("reason"))
+
+
+def scan(spark: SparkSession, folder: str, most_bytes: int = MOST_BYTES, depth: int = DEPTH, roots: tuple[str, ...] | None = None) -> DataFrame:
+    """Text files below a folder, as documents in the order of their paths; scan_log() has what is left out, and why."""
+    texts = entries(spark, folder, most_bytes, depth, roots).where("reason is null")
+    return documents(texts.select("file_path", F.col("content").cast("string").alias("raw"), "modified")).orderBy("file_path")
+
+
+def scan_log(spark: SparkSession, folder: str, most_bytes: int = MOST_BYTES, depth: int = DEPTH, roots: tuple[str, ...] | None = None) -> DataFrame:
+    """file_path and reason of what scan() leaves out: too_large, not_text, too_deep, link_depth, link_loop, broken_link, outside, or unreadable with the system's message."""
+    return entries(spark, folder, most_bytes, depth, roots).where("reason is not null").select("file_path", "reason")
 
 
 def stable_id(path: Column) -> Column:
@@ -31,85 +52,34 @@ def stable_id(path: Column) -> Column:
     return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
 
 
-@F.pandas_udf(StringType())
-def yaml_as_json(column: pd.Series) -> pd.Series:
-    """Front matter as a JSON object; null where it is no YAML. Only the part of YAML that front matter uses is known."""
-    return column.map(lambda text: None if text is None else parsed(text))
-
-
-def parsed(text: str) -> str | None:
-    try:
-        found = parse_yaml(text)
-    except ValueError:
-        return None
-    if found is None:
-        found = {}
-    return json.dumps(found if isinstance(found, dict) else {"_raw": found}, ensure_ascii=False)
-
-
-def parse_yaml(text: str) -> object:
-    """Mappings of scalars, inline lists and dash lists; raises ValueError on anything else."""
-    lines = [x for x in text.split("\n") if x.strip() and not x.lstrip().startswith("#")]
-    if not lines:
-        return None
-    if len(lines) == 1 and ":" not in lines[0]:
-        return scalar(lines[0].strip())
-    out: dict[str, object] = {}
-    name = None
-    for line in lines:
-        if line.lstrip().startswith("- ") and name is not None:
-            if not isinstance(out[name], list):
-                if out[name] is not None:
-                    raise ValueError(line)
-                out[name] = []
-            out[name].append(scalar(line.lstrip()[2:].strip()))
-            continue
-        key, colon, value = line.partition(":")
-        if not colon or line[:1].isspace() or value and not value.startswith(" "):
-            raise ValueError(line)
-        name = str(scalar(key.strip()))
-        out[name] = scalar(value.strip()) if value.strip() else None
-    return out
-
-
-def scalar(x: str) -> object:
-    if x[:1] in "'\"" and len(x) > 1 and x[-1] == x[0]:
-        return x[1:-1]
-    if x.startswith("["):
-        if not x.endswith("]"):
-            raise ValueError(x)
-        return [scalar(p.strip()) for p in x[1:-1].split(",") if p.strip()]
-    if x[:1] in "{&*!|>%@`":
-        raise ValueError(x)
-    if x in ("", "~", "null"):
-        return None
-    if x in ("true", "false"):
-        return x == "true"
-    for kind in (int, float):
-        try:
-            return kind(x)
-        except ValueError:
-            pass
-    return x
+def with_front_matter(docs: DataFrame, raw: str = "raw_frontmatter", name: str = "front_matter") -> DataFrame:
+    """docs with their front matter as a variant, from which nested values are read by path; null where it is no JSON."""
+    return docs.withColumn(name, F.try_parse_json(raw))
 
 
 def documents(files: DataFrame) -> DataFrame:
-    """file_path, raw and modified as documents with metadata; front matter goes before defaults."""
+    """file_path, raw and modified as documents with metadata; front matter goes before defaults.
+
+    Front matter that can't be read stays part of the content. A title, category, description or time counts if it is a string, a version also as a number, tags
+    as a list, of which strings count, or as one string."""
     has = F.col("raw").rlike(FRONT_MATTER)
-    df = files.withColumn("_yaml", F.when(has, F.regexp_extract("raw", FRONT_MATTER, 1))).withColumn("raw_frontmatter", yaml_as_json("_yaml"))
+    df = with_front_matter(files.withColumn("raw_frontmatter", yaml_as_json(F.when(has, F.regexp_extract("raw", FRONT_MATTER, 1)))), name="_v")
     ok = F.col("raw_frontmatter").isNotNull()
-    get = lambda k: F.get_json_object("raw_frontmatter", f"$.{k}")
+    kind = lambda k: F.schema_of_variant(F.try_variant_get("_v", f"$.{k}", "variant"))
+    string = lambda k: F.when(kind(k) == "STRING", F.try_variant_get("_v", f"$.{k}", "string"))
     name = F.regexp_extract("file_path", r"([^/]*)$", 1)
     folder = F.regexp_extract("file_path", r"([^/]+)/[^/]*$", 1)
-    tags = get("tags")
+    version = F.when(kind("version").rlike("^(?:STRING|BIGINT|DECIMAL|DOUBLE)"), F.regexp_replace(F.get_json_object("raw_frontmatter", "$.version"), F.when(kind("version") == "STRING", "^$").otherwise(r"\.0$"), F.lit("")))
+    listed = F.transform(F.filter(F.try_variant_get("_v", "$.tags", "array<variant>"), lambda t: F.schema_of_variant(t) == "STRING"), lambda t: F.try_variant_get(t, "$", "string"))
+    none = F.expr("cast(array() as array<string>)")
     stamp = F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return df.select(
         stable_id(F.col("file_path")).alias("id"), "file_path", name.alias("file_name"),
-        F.coalesce(get("title"), F.regexp_replace(name, r"(?i)\.(?:markdown|md|txt)$", "")).alias("title"), F.coalesce(get("description"), F.lit("")).alias("description"),
-        F.coalesce(get("category"), F.when(folder != "", folder), F.lit("Uncategorized")).alias("category"), F.coalesce(get("version"), F.lit("1.0")).alias("version"),
-        F.when(F.startswith(tags, F.lit("[")), F.from_json(tags, "array<string>")).when(tags.isNotNull() & ~tags.rlike(r"^[-0-9.{]"), F.array(tags)).otherwise(F.expr("cast(array() as array<string>)")).alias("tags"),
+        F.coalesce(string("title"), F.regexp_replace(name, r"(?i)\.(?:markdown|md|txt)$", "")).alias("title"), F.coalesce(string("description"), F.lit("")).alias("description"),
+        F.coalesce(string("category"), F.when(folder != "", folder), F.lit("Uncategorized")).alias("category"), F.coalesce(version, F.lit("1.0")).alias("version"),
+        F.when(string("tags").isNotNull(), F.array(string("tags"))).otherwise(F.coalesce(listed, none)).alias("tags"),
         F.when(ok, F.regexp_extract("raw", FRONT_MATTER, 2)).otherwise(F.col("raw")).alias("content"), F.coalesce("raw_frontmatter", F.lit("{}")).alias("raw_frontmatter"),
-        F.coalesce(get("created"), stamp).alias("created_at"), F.coalesce(get("updated"), stamp).alias("updated_at"), F.lit(False).alias("is_favorite"),
+        F.coalesce(string("created"), stamp).alias("created_at"), F.coalesce(string("updated"), stamp).alias("updated_at"), F.lit(False).alias("is_favorite"),
     )
 
 
