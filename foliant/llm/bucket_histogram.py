@@ -18,6 +18,8 @@ from foliant.llm.shared import discard, read, stored
 WINDOWS, RANKS = 128, 16
 #: Permitted error of a rank in thousandths of the rows, batches, quantiles, and rows from which quantiles are asked for.
 ERROR, BATCHES, PARTS, LEAST = 50, 8, 10, 20
+#: The batch that stands for all of them.
+WHOLE = -1
 
 
 def div(a: Column, b: Column | int) -> Column:
@@ -32,20 +34,26 @@ def at(*keys: str) -> Column:
 
 
 def cumulated(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """counts (keys, x, c: one row for each key and x), stored, with before, the sum of c over smaller x of the key, rank (from 1), n, the key's sum,
-    and d, its number of values.
-
-    Rows are dealt by range, and each key's rows in one partition are a slice; slices are summed, and sums added up from slice to slice."""
-    dealt = stored(counts.select(*keys, "x", "c").repartitionByRange(*keys, "x").withColumn("slice", F.spark_partition_id()), "counts")
-    slices = dealt.groupBy(*keys, "slice").agg(F.sum("c").alias("_c"), F.count("*").alias("_d"))
-    of_key = Window.partitionBy(*keys)
-    earlier = of_key.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    first = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in ("_c", "_d")]
-    slices = slices.select(at(*keys, "slice").alias("_at"), *first, F.sum("_c").over(of_key).alias("n"), F.sum("_d").over(of_key).alias("d"))
-    inside = Window.partitionBy("_at").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = dealt.withColumn("_at", at(*keys, "slice")).join(slices, "_at")
-    placed = placed.select(*keys, "x", "c", (F.col("_c0") + F.sum("c").over(inside) - F.col("c")).alias("before"), (F.col("_d0") + F.row_number().over(inside)).alias("rank"), "n", "d")
-    found = stored(placed, "cumulated")
+    """counts (keys, batch, x, c: one row for each), stored with the places of x in its batch and in the whole key.
+
+    In the batch: before, the sum of c over smaller x, rank (from 1), n, the sum of all, and d, the number of values. In the whole: whole_before,
+    whole_upto, whole_n and first_batch, the first batch that has x. Rows are dealt by range, and what a partition has of a key is a slice; slices are
+    summed, and sums added up from slice to slice."""
+    dealt = stored(counts.select(*keys, "batch", "x", "c").repartitionByRange(*keys, "x").withColumn("slice", F.spark_partition_id()), "counts")
+    parts = dealt.groupBy(*keys, "slice", "batch").agg(F.sum("c").alias("c"), F.count("*").alias("d"))
+    of_batch, of_key = Window.partitionBy(*keys, "batch"), Window.partitionBy(*keys)
+    earlier = lambda w, c: F.coalesce(F.sum(c).over(w.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumns({"_c": earlier(of_batch, "c"), "_d": earlier(of_batch, "d"), "n": F.sum("c").over(of_batch), "m": F.sum("d").over(of_batch)})
+    slices = parts.groupBy(*keys, "slice").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("batch", F.struct("_c", "_d", "n", "m")))).alias("_of"))
+    slices = slices.select(at(*keys, "slice").alias("_at"), "_of", earlier(of_key, "c").alias("_w"), F.sum("c").over(of_key).alias("whole_n"))
+    placed = dealt.withColumn("_at", at(*keys, "slice")).join(slices, "_at").withColumn("_o", F.element_at("_of", F.col("batch")))
+    own = Window.partitionBy("_at", "batch").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("_at").orderBy("x")
+    upto, equal = whole.rangeBetween(Window.unboundedPreceding, Window.currentRow), whole.rangeBetween(0, 0)
+    placed = placed.withColumns({"_upto": F.col("_w") + F.sum("c").over(upto), "_equal": F.sum("c").over(equal), "first_batch": F.min("batch").over(equal)})
+    placed = placed.withColumns({"_own": F.sum("c").over(own), "_rank": F.row_number().over(own)})
+    columns = [(F.col("_o._c") + F.col("_own") - F.col("c")).alias("before"), (F.col("_o._d") + F.col("_rank")).alias("rank"), F.col("_o.n").alias("n"), F.col("_o.m").alias("d"), (F.col("_upto") - F.col("_equal")).alias("whole_before"), F.col("_upto").alias("whole_upto")]
+    found = stored(placed.select(*keys, "batch", "x", "c", *columns, "whole_n", "first_batch"), "cumulated")
     discard(dealt)
     return found
 
@@ -60,7 +68,7 @@ def packed(units: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def summarised(cumulative: DataFrame, keys: list[str]) -> DataFrame:
-    """A summary of each key from cumulated(): keys, low, high, count, n. No bucket of several values has twice n / WINDOWS rows."""
+    """A summary of each of keys (the batch among them) from cumulated(): keys, low, high, count, n. No bucket of several values has twice n / WINDOWS rows."""
     return packed(cumulative.withColumns({"low": F.col("x"), "high": F.col("x")}), keys)
 
 
@@ -82,14 +90,15 @@ def merged(summaries: DataFrame, keys: list[str]) -> DataFrame:
     return packed(units, keys)
 
 
-def target(i: Column, parts: int) -> Column:
+def target(i: Column, n: Column, parts: int) -> Column:
     """ceil(i * n / parts)"""
-    return div(i * F.col("n") + parts - 1, parts)
+    return div(i * n + parts - 1, parts)
 
 
-def reached(parts: int, before: Column, upto: Column) -> Column:
-    """The numbers i of the quantiles whose target lies in (before, upto]."""
-    return F.filter(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: (target(i, parts) > before) & (target(i, parts) <= upto))
+def reached(parts: int, n: Column, before: Column, upto: Column) -> Column:
+    """The numbers i of the quantiles whose target lies in (before, upto]: those with before < i * n / parts <= upto."""
+    low, high = div(before * parts, n) + 1, F.least(F.lit(parts - 1), div(upto * parts, n))
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.expr("cast(array() as array<bigint>)")).cast("array<int>")
 
 
 def quantiles(summaries: DataFrame, keys: list[str], parts: int = PARTS, least: int = LEAST) -> DataFrame:
@@ -97,20 +106,26 @@ def quantiles(summaries: DataFrame, keys: list[str], parts: int = PARTS, least:
     of_key = Window.partitionBy(*keys)
     upto = F.sum("count").over(of_key.orderBy("low").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cut = summaries.where(F.col("n") >= least).withColumns({"points": F.count("*").over(of_key), "_upto": upto})
-    cut = cut.withColumn("_before", F.col("_upto") - F.col("count")).withColumn("i", F.explode(reached(parts, F.col("_before"), F.col("_upto"))))
-    cut = cut.withColumn("target", target(F.col("i"), parts))
+    cut = cut.withColumn("_before", F.col("_upto") - F.col("count")).withColumn("i", F.explode(reached(parts, F.col("n"), F.col("_before"), F.col("_upto"))))
+    cut = cut.withColumn("target", target(F.col("i"), F.col("n"), parts))
     low = 2 * (F.col("target") - F.col("_before")) <= F.col("count")
     return cut.select(*keys, "n", "points", "i", "target", F.when(low, F.col("low")).otherwise(F.col("high")).alias("answer"))
 
 
 def judged(answers: DataFrame, cumulative: DataFrame, keys: list[str], parts: int = PARTS, error: int = ERROR) -> DataFrame:
-    """answers with exact_x, n_below, n_upto, rank_error and within, from cumulated() of the same keys."""
+    """answers (keys, batch, of which WHOLE is the whole key) with exact_x, n_below, n_upto, rank_error and within, from cumulated() of the same keys."""
+    none = F.expr("cast(array() as array<int>)")
+    first = F.col("batch") == F.col("first_batch")
     upto = F.col("before") + F.col("c")
-    exact = cumulative.where(F.col("n") >= LEAST).select(*keys, F.col("x").alias("exact_x"), F.explode(reached(parts, F.col("before"), upto)).alias("i"))
-    places = cumulative.select(at(*keys, F.col("x").alias("answer")).alias("_place"), F.col("before").alias("n_below"), upto.alias("n_upto"))
-    found = answers.withColumn("_place", at(*keys, "answer")).join(places, "_place").drop("_place")
-    exact = exact.select(at(*keys, "i").alias("_at"), "exact_x")
-    found = found.withColumn("_at", at(*keys, "i")).join(exact, "_at").drop("_at")
+    asked = cumulative.select(*keys, F.col("x").alias("exact_x"), "batch", reached(parts, F.col("n"), F.col("before"), upto).alias("_own"), F.when(first, reached(parts, F.col("whole_n"), F.col("whole_before"), F.col("whole_upto"))).otherwise(none).alias("_whole"))
+    asked = asked.where((F.size("_own") > 0) | (F.size("_whole") > 0))
+    tell = lambda batch, numbers: F.transform(numbers, lambda i: F.struct(batch.cast("int").alias("batch"), i.alias("i")))
+    exact = asked.select(*keys, "exact_x", F.explode(F.concat(tell(F.col("batch"), "_own"), tell(F.lit(WHOLE), "_whole"))).alias("q")).select(at(*keys, "q.batch", "q.i").alias("_at"), "exact_x")
+    places = cumulative.select(at(*keys, F.col("x").alias("answer")).alias("_place"), F.col("batch").alias("_batch"), "first_batch", F.col("before").alias("_before"), upto.alias("_upto"), "whole_before", "whole_upto")
+    of_whole = F.col("batch") == WHOLE
+    found = answers.withColumn("_place", at(*keys, "answer")).join(places, "_place").where(F.col("_batch") == F.when(of_whole, F.col("first_batch")).otherwise(F.col("batch")))
+    found = found.withColumns({"n_below": F.when(of_whole, F.col("whole_before")).otherwise(F.col("_before")), "n_upto": F.when(of_whole, F.col("whole_upto")).otherwise(F.col("_upto"))})
+    found = found.select(*answers.columns, "n_below", "n_upto", at(*keys, "batch", "i").alias("_at")).join(exact, "_at").drop("_at")
     off = F.greatest(F.lit(0), F.col("n_below") + 1 - F.col("target"), F.col("target") - F.col("n_upto"))
     return found.withColumn("rank_error", off).withColumn("within", 1000 * F.col("rank_error") <= error * F.col("n"))
 
@@ -127,9 +142,9 @@ def batch_of(id_: Column) -> Column:
 def shop_values(clicks: DataFrame, lines: DataFrame, items: DataFrame) -> DataFrame:
     """stream, grp, batch, x and c of both streams; money that is no finite number counts as missing.
 
-    Of clicks of one id, which are repeats, the row that comes first in order of client and value counts. Lines are counted by item and batch before they meet the items."""
+    Clicks of one id are repeats, of which one counts. Lines are counted by item and batch before they meet the items."""
     finite = lambda m: m.isNotNull() & ~F.isnan(m) & (F.abs(m) < float("inf"))
-    once = clicks.groupBy("click_id").agg(F.min(F.struct("client_id", "value")).alias("r")).select(F.lit("value").alias("stream"), F.col("r.client_id").cast("string").alias("grp"), batch_of(F.col("click_id")).alias("batch"), F.col("r.value").alias("money"), F.lit(1).cast("bigint").alias("m"))
+    once = clicks.groupBy("click_id").agg(F.first("client_id").alias("client_id"), F.first("value").alias("value")).select(F.lit("value").alias("stream"), F.col("client_id").cast("string").alias("grp"), batch_of(F.col("click_id")).alias("batch"), F.col("value").alias("money"), F.lit(1).cast("bigint").alias("m"))
     sold = lines.where("item_id IS NOT NULL").groupBy("item_id", batch_of(F.col("vendor_id")).alias("batch")).agg(F.count("*").alias("m"))
     priced = sold.join(items.select("item_id", "brand", "price"), "item_id").select(F.lit("price").alias("stream"), F.col("brand").alias("grp"), "batch", F.col("price").alias("money"), "m")
     rows = once.unionByName(priced).where(F.col("grp").isNotNull() & finite(F.col("money")))
@@ -137,14 +152,13 @@ def shop_values(clicks: DataFrame, lines: DataFrame, items: DataFrame) -> DataFr
 
 
 def report(values: DataFrame, keys: list[str]) -> DataFrame:
-    """values (keys, batch, x, c) summarised for each batch, the summaries merged into batch -1, and quantiles of all of them held against the values."""
+    """values (keys, batch, x, c) summarised for each batch, the summaries merged into batch WHOLE, and quantiles of all of them held against the values."""
     every = [*keys, "batch"]
-    whole = values.groupBy(*keys, "x").agg(F.sum("c").alias("c")).withColumn("batch", F.lit(-1))
-    cumulative = cumulated(values.unionByName(whole), every)
-    batches = stored(summarised(cumulative.where("batch >= 0"), every), "summaries")
-    answers = quantiles(batches.unionByName(merged(batches, keys).withColumn("batch", F.lit(-1))), every)
+    cumulative = cumulated(values, keys)
+    batches = stored(summarised(cumulative, every), "summaries")
+    answers = quantiles(batches.unionByName(merged(batches, keys).withColumn("batch", F.lit(WHOLE))), every)
     columns = [*every, "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", "within"]
-    return judged(answers, cumulative, every).select(*columns)
+    return judged(answers, cumulative, keys).select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,7 +114,7 @@ def test_sizes_and_errors_hold(kind, n):
 def test_merging_again_and_disjoint_buckets(spark):
     """Summaries that overlap nowhere lose nothing, and merging is of one form: what is merged can be merged."""
     values = {"g": {b: [x + 100_000 * b for x in draws(b, 500, "even")] for b in range(4)}}
-    cumulative = bh.cumulated(table(spark, values), ["grp", "batch"])
+    cumulative = bh.cumulated(table(spark, values), ["grp"])
     parts = bh.summarised(cumulative, ["grp", "batch"])
     buckets = {(r.low, r.high): r["count"] for r in parts.collect()}
     halves = bh.merged(parts.withColumn("half", F.col("batch") % 2), ["grp", "half"])
