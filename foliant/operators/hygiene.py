@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.gates import folded, may_contain, may_match
 from foliant.functions.spans import with_all_spans
 from foliant.functions.text import column_of, line_of, mask_secret, strip
 
@@ -45,8 +46,8 @@ PATHS = (
     r"(?:^|\s)(?:/(?:home|usr|opt|var|tmp|etc|mnt)/[\w\-\./]+)", r"(?:^|\s)(?:[A-Za-z]:\\(?:[\w\-\.]+\\)*[\w\-\.]+)",
     r"(?:^|\s)(?:(?:src|app|lib|tests?|docs?|components?|pages?|utils?|hooks?|stores?|assets?)/[\w\-\./]+)", r"\b[\w\-/]+\.(?:tsx?|jsx?|rs|py|go|java|rb|php|css|html|json|yaml|yml|toml|md|sql)\b",
 )
-ISSUE = r"(?i)\b(?:Issue|PR|Bug|Ticket|Task|Feature)\s*#\s*(?:\d+)\b"
-TEST_COUNTS = r"(?:\d+)\s+(?:passed|bestanden|erfolgreich).*?(?:\d+)\s+(?:failed|fehlgeschlagen|nicht\s+bestanden)"
+ISSUE = r"(?i)\b(?:Issue|PR|Bug|Ticket|Task|Feature)\s*#\s*\d+\b"
+TEST_COUNTS = r"\d+\s+(?:passed|bestanden|erfolgreich).*?\d+\s+(?:failed|fehlgeschlagen|nicht\s+bestanden)"
 TEST_SUMMARY = r"(?i)(?:tests?\s+(?:run|suites?)|test\s+results?)\s*:?\s*\d+"
 LOG_LINE = r"(?m)^\s*(?:\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2})?\s*(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\b"
 STACKTRACES = (
@@ -130,10 +131,11 @@ def artifact(text: Column, category: str, severity: Column | str, match: Column,
 
 
 def detected(df: DataFrame, text: str, patterns: dict[str, Pattern]) -> DataFrame:
-    """df with a column of artifacts for each name and pattern."""
+    """df with a column of artifacts for each name and pattern. An expression runs where words that it can't match without are in the text."""
     t = F.col(text)
-    gate = lambda p: F.contains(t, F.lit(p.gate)) if p.gate else t.rlike("(?U)" + p.pattern)
-    df = with_all_spans(df, text, {n: ("(?U)" + p.pattern, gate(p)) for n, p in patterns.items()})
+    low = F.col("__low")
+    gate = lambda p: F.contains(t, F.lit(p.gate)) if p.gate else may_match(low, p.pattern) & t.rlike("(?U)" + p.pattern)
+    df = with_all_spans(df.withColumn("__low", folded(t)), text, {n: ("(?U)" + p.pattern, gate(p)) for n, p in patterns.items()}).drop("__low")
 
     def found(name: str, p: Pattern) -> Column:
         kept = F.filter(name, lambda x: p.keep(x["hit"])) if p.keep else F.col(name)
@@ -228,19 +230,22 @@ def code_dumps(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("```")), F.transform(F.filter(opened, lambda b: count(b) > 20), lambda b: artifact(text, "CODE_DUMP", "info", label(b), line(b), F.lit(1), "{CODE_SNIPPET}"))).otherwise(F.expr(NONE))
 
 
-def role_mismatch(text: Column) -> Column:
-    """Lines with two role sectors or more, in texts with three or more."""
-    number = lambda x: sum((x.rlike(rf"(?iU)\b(?:{s})\b").cast("int") for s in ROLE_SECTORS), F.lit(0))
+def role_mismatch(text: Column, low: Column) -> Column:
+    """Lines with two role sectors or more, in texts with three or more. low: the text's folded() form."""
+    here = [may_contain(low, s.split("|")) for s in ROLE_SECTORS]
+    number = lambda x: sum(((g & x.rlike(rf"(?iU)\b(?:{s})\b")).cast("int") for s, g in zip(ROLE_SECTORS, here, strict=True)), F.lit(0))
+    might = sum((g.cast("int") for g in here), F.lit(0)) >= 3
     lines = F.transform(F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     rows = F.transform(F.filter(lines, lambda x: number(x["x"]) >= 2), lambda x: artifact(text, "ROLE_MISMATCH", "warning", strip(x["x"]), x["i"] + 1, F.lit(1), "{CORRECTED_ROLE}"))
-    return F.when(number(text) >= 3, rows).otherwise(F.expr(NONE))
+    return F.when(might & (number(text) >= 3), rows).otherwise(F.expr(NONE))
 
 
-def missing_structure(text: Column, guideline: Column) -> Column:
-    """One artifact where half of the usual headings are absent from a text of some length."""
+def missing_structure(text: Column, low: Column, guideline: Column) -> Column:
+    """One artifact where half of the usual headings are absent from a text of some length. low: the text's folded() form."""
+    sharp = F.contains(text, F.lit("#"))
 
     def absent(sections: tuple, end: str) -> Column:
-        return F.array_compact(F.array(*(F.when(~text.rlike(rf"(?imU)^#{{1,3}}\s*(?:{p}){end}"), name) for name, p in sections)))
+        return F.array_compact(F.array(*(F.when(~(sharp & may_match(low, f"(?:{p})") & text.rlike(rf"(?imU)^#{{1,3}}\s*(?:{p}){end}")), name) for name, p in sections)))
 
     task, rules = absent(SECTIONS, ""), absent(GUIDELINE_SECTIONS, r"\b")
     long = F.octet_length(strip(text)) > 100
@@ -252,17 +257,19 @@ def analyze(docs: DataFrame, text: str = "text", guideline: Column | None = None
     """docs with artifacts, hygiene_score and hygiene_status. guideline: which texts are rule collections; by default none.
 
     A null text counts as empty; an empty text is clean. Columns of the same names are replaced."""
-    from foliant.operators.router import is_guideline
+    from foliant.operators.router import with_is_guideline
 
-    t = F.col("_text")
+    t, low = F.col("_text"), F.col("_low")
     df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     named = {f"_{group}{i}": p for group, patterns in (("a", BEFORE_JSON), ("d", [INLINE_CODE, EMAILS]), ("f", AFTER_PHONE), ("i", EVIDENCE_BLOCKS)) for i, p in enumerate(patterns)}
     df = phones(detected(df, "_text", named), "_text", "_e0")
     ocr = [n for n, p in named.items() if p.category == "OCR_RESIDUE"]
-    others = {"_b0": json_dumps(t), "_c0": code_dumps(t), "_g0": role_mismatch(t), "_h0": missing_structure(t, is_guideline(t) if guideline is None else guideline)}
-    df = df.withColumns(others | {n: F.when(t.rlike(TASK_CONTEXT), F.expr(NONE)).otherwise(F.col(n)) for n in ocr})
+    df = with_is_guideline(df, t, "_rules") if guideline is None else df.withColumn("_rules", guideline)
+    df = df.withColumns({"_low": folded(t), "_task": t.rlike(TASK_CONTEXT)})
+    others = {"_b0": json_dumps(t), "_c0": code_dumps(t), "_g0": role_mismatch(t, low), "_h0": missing_structure(t, low, F.col("_rules"))}
+    df = df.withColumns(others | {n: F.when(F.col("_task"), F.expr(NONE)).otherwise(F.col(n)) for n in ocr})
     names = sorted({*named, *others, "_e0"}, key=lambda n: (n[1], int(n[2:])))
-    df = df.withColumn("artifacts", F.concat(*names)).drop("_text", *names)
+    df = df.withColumn("artifacts", F.concat(*names)).drop("_text", "_low", "_task", "_rules", *names)
     return df.withColumn("hygiene_score", score(F.col("artifacts"))).withColumn("hygiene_status", status(F.col("hygiene_score")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.gates import folded, may_contain, may_match
 from foliant.functions.text import alternation, router_sentences, strip
 from foliant.operators import lexicons as lex
 
@@ -49,53 +50,76 @@ def lines(text: Column) -> Column:
     return F.transform(F.split(text, r"\r?\n", -1), strip)
 
 
-def guideline_score(text: Column) -> Column:
-    """Points for guideline headings, imperative lines, policy terms and rule-like sentences; with what the decision needs besides."""
-    headings = F.filter(F.transform(lines(text), lambda x: F.struct(strip(F.regexp_replace(x, "^#", "")).alias("h"), (F.startswith(x, F.lit("# "))).alias("first"), F.startswith(x, F.lit("#")).alias("is"))), lambda s: s["is"] & (s["h"] != ""))
+def prepared(docs: DataFrame, text: Column, name: str = "_r") -> DataFrame:
+    """docs with what the expressions below read more than once, as a struct: the text, its lines, its sentences, and its small letters, by which expressions are gated."""
+    return docs.withColumn(name, F.struct(text.alias("text"), lines(text).alias("lines"), router_sentences(text).alias("sents"), folded(text).alias("low")))
+
+
+def guideline_score(r: str) -> Column:
+    """Points for guideline headings, imperative lines, policy terms and rule-like sentences; with what the decision needs besides. r: of prepared()."""
+    text, rows, low = (F.col(f"{r}.{c}") for c in ("text", "lines", "low"))
+    marked = F.when(F.contains(text, F.lit("#")), F.filter(rows, lambda x: F.startswith(x, F.lit("#")))).otherwise(F.expr("cast(array() as array<string>)"))
+    headings = F.filter(F.transform(marked, lambda x: F.struct(strip(F.regexp_replace(x, "^#", "")).alias("h"), (F.startswith(x, F.lit("# "))).alias("first"))), lambda s: s["h"] != "")
     names = alternation(x.lower() for x in lex.GUIDELINE_HEADINGS)
     canonical = lambda s: has(F.lower(s["h"]), rf"^{names}(?:\s|\z)") | (s["first"] & has(F.lower(s["h"]), rf"(?:^|\s){names}\z"))
     compound = lambda s: F.lower(s["h"]).rlike(rf"{alternation(lex.COMPOUND_HEADING_SUFFIXES)}\z")
     number = lambda array, f: F.size(F.filter(array, f))
     opener = rf"(?i){alternation(lex.IMPERATIVES_DE + lex.IMPERATIVES_EN)}(?![\p{{L}}\p{{N}}])"
     marker = r"(?:[-*] |[0-9]+[.)] *(?=[^ ]))"
-    bullets = number(lines(text), lambda x: has(x, rf"^{marker}{opener}"))
-    plain = number(lines(text), lambda x: ~has(x, rf"^{marker}") & has(x, rf"^{opener}") & has(x, r"\s\S"))
+    commands = may_contain(low, lex.IMPERATIVES_DE + lex.IMPERATIVES_EN)
+    bullets = F.when(commands, number(rows, lambda x: has(x, rf"^{marker}{opener}"))).otherwise(0)
+    plain = F.when(commands, number(rows, lambda x: has(x, rf"^{opener}") & ~has(x, rf"^{marker}") & has(x, r"\s\S"))).otherwise(0)
     by_heading = number(headings, canonical)
-    policy = F.least(count(F.lower(text), alternation(x.lower() for x in lex.POLICY_TERMS)) * 0.5, F.lit(1.0))
-    modal = F.when(by_heading > 0, number(router_sentences(text), lambda s: has(s, MODAL_RULE))).otherwise(0)
+    policy = F.when(may_contain(low, lex.POLICY_TERMS), F.least(count(F.lower(text), alternation(x.lower() for x in lex.POLICY_TERMS)) * 0.5, F.lit(1.0))).otherwise(0.0)
+    modal = F.when(by_heading > 0, number(F.col(f"{r}.sents"), lambda s: has(s, MODAL_RULE))).otherwise(0)
     points = by_heading * 1.0 + number(headings, compound) * 0.8 + (bullets + plain + modal) * 0.6 + policy
     return F.struct(points.alias("points"), F.size(headings).alias("headings"), bullets.alias("bullets"))
 
 
-def task_scores(text: Column) -> Column:
-    both = F.size(F.filter(router_sentences(text), lambda s: has(s, GENERATION_VERB) & has(s, rf"\b{alternation(lex.ARTIFACT_NOUNS)}\b")))
-    return F.array(*(F.struct((both if p is None else count(F.lower(text), p)).cast("int").alias("score"), F.lit(name).alias("name")) for name, p in TASKS.items()))
+def actions(r: str) -> Column:
+    """How many sentences ask for an action."""
+    return F.when(may_match(F.col(f"{r}.low"), ACTION), F.size(F.filter(F.col(f"{r}.sents"), lambda s: has(s, ACTION)))).otherwise(0)
+
+
+def task_scores(r: str) -> Column:
+    text, low = F.col(f"{r}.text"), F.col(f"{r}.low")
+    both = F.size(F.filter(F.col(f"{r}.sents"), lambda s: has(s, GENERATION_VERB) & has(s, rf"\b{alternation(lex.ARTIFACT_NOUNS)}\b")))
+    both = F.when(may_match(low, GENERATION_VERB) & may_contain(low, lex.ARTIFACT_NOUNS), both).otherwise(0)
+    number = lambda p: F.when(may_match(low, p), count(F.lower(text), p)).otherwise(0)
+    return F.array(*(F.struct((both if p is None else number(p)).cast("int").alias("score"), F.lit(name).alias("name")) for name, p in TASKS.items()))
 
 
 def routed(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with content_kind (Guideline, Template, Task), prompt_type (of tasks), language and route_confidence."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_g", guideline_score(t)).withColumn("_acts", F.size(F.filter(router_sentences(t), lambda s: has(s, ACTION)))).withColumn("_tasks", task_scores(t))
+    t = F.col("_r.text")
+    df = prepared(docs, F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumns({"_g": guideline_score("_r"), "_acts": actions("_r"), "_tasks": task_scores("_r")})
     lifted = (F.col("_g.points") < 2) & (F.col("_g.bullets") >= 3) & (F.col("_g.headings") == 0) & ~F.contains(t, F.lit("{"))
     df = df.withColumn("_points", F.col("_g.points") + F.when(lifted, 1.5).otherwise(0.0))
     guideline = (F.col("_points") >= 2) & ~((F.col("_acts") == 1) & (F.col("_g.headings") == 0) & (F.col("_g.bullets") <= 1))
-    filled = F.greatest(F.size(F.filter(lines(t), lambda x: x != "")), F.lit(1))
-    fields = count(t, LABELED_FIELD)
-    marks = (count(t, PLACEHOLDER) / filled >= 0.3).cast("int") + F.lower(t).rlike(alternation(x.lower() for x in lex.TEMPLATE_MARKERS)).cast("int") + (fields >= 3).cast("int")
+    filled = F.greatest(F.size(F.filter("_r.lines", lambda x: x != "")), F.lit(1))
+    braces = F.contains(t, F.lit("{"))
+    number = lambda p: F.when(braces, count(t, p)).otherwise(0)
+    marker = may_contain(F.col("_r.low"), lex.TEMPLATE_MARKERS) & F.lower(t).rlike(alternation(x.lower() for x in lex.TEMPLATE_MARKERS))
+    df = df.withColumns({"_fields": number(LABELED_FIELD), "_marks": (number(PLACEHOLDER) / filled >= 0.3).cast("int") + marker.cast("int")})
+    marks, fields = F.col("_marks") + (F.col("_fields") >= 3).cast("int"), F.col("_fields")
     template = ((marks >= 2) | ((fields >= 2) & has(F.lower(t), FILL_INSTRUCTION))) & (F.col("_points") < 2)
     kind = F.when(guideline, "Guideline").when(template, "Template").otherwise("Task")
     top = F.array_max(F.transform("_tasks", lambda s: s["score"]))
     best = F.filter("_tasks", lambda s: s["score"] == top)
     second = F.coalesce(F.get(F.sort_array(F.transform("_tasks", lambda s: s["score"]), asc=False), F.lit(1)), F.lit(0))
     task = F.when((top > 0) & (F.size(best) == 1), F.get(best, F.lit(0))["name"]).otherwise("GeneralTask")
-    sure = F.when(kind == "Guideline", F.least(F.col("_points") / 4, F.lit(1.0))).when(kind == "Template", F.least(marks / 3, F.lit(1.0))).when(top > 0, F.least(0.5 + (top - second) / top, F.lit(1.0))).otherwise(0.3)
-    df = df.withColumns({"content_kind": kind, "prompt_type": F.when(kind == "Task", task), "language": language(t), "route_confidence": sure})
-    return df.drop("_g", "_acts", "_tasks", "_points")
-
-
-def is_guideline(text: Column) -> Column:
-    """As routed(), for one column; the cheap sum first, so that most texts need no more."""
-    g = guideline_score(text)
-    points = g["points"] + F.when((g["points"] < 2) & (g["bullets"] >= 3) & (g["headings"] == 0) & ~F.contains(text, F.lit("{")), 1.5).otherwise(0.0)
-    acts = F.size(F.filter(router_sentences(text), lambda s: has(s, ACTION)))
-    return (points >= 2) & ~((acts == 1) & (g["headings"] == 0) & (g["bullets"] <= 1))
+    df = df.withColumns({"content_kind": kind, "_task": task, "_top": top, "_second": second})
+    of_kind = lambda k: F.col("content_kind") == k
+    sure = F.when(of_kind("Guideline"), F.least(F.col("_points") / 4, F.lit(1.0))).when(of_kind("Template"), F.least(marks / 3, F.lit(1.0))).when(F.col("_top") > 0, F.least(0.5 + (F.col("_top") - F.col("_second")) / F.col("_top"), F.lit(1.0))).otherwise(0.3)
+    df = df.withColumns({"prompt_type": F.when(of_kind("Task"), F.col("_task")), "language": language(t), "route_confidence": sure})
+    return df.drop("_r", "_g", "_acts", "_tasks", "_points", "_fields", "_marks", "_task", "_top", "_second")
+
+
+def with_is_guideline(docs: DataFrame, text: Column, name: str = "is_guideline") -> DataFrame:
+    """docs with whether routed() would call a text a guideline; what costs most is looked at last."""
+    df = prepared(docs, text, "_r").withColumn("_g", guideline_score("_r"))
+    lifted = (F.col("_g.points") < 2) & (F.col("_g.bullets") >= 3) & (F.col("_g.headings") == 0) & ~F.contains("_r.text", F.lit("{"))
+    points = F.col("_g.points") + F.when(lifted, 1.5).otherwise(0.0)
+    found = (points >= 2) & ~((F.col("_g.headings") == 0) & (F.col("_g.bullets") <= 1) & (actions("_r") == 1))
+    return df.withColumn(name, found).drop("_r", "_g")

@@ -36,10 +36,15 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+#: Bytes of a table for each core, above which its files have parts enough.
+EVEN = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer partitions than there are cores, dealt to all of them, as analysis takes milliseconds a document; a larger one as it is."""
+    """A table that is small for the number of cores, dealt out row by row, as analysis takes milliseconds a document and a small file may be one part; a larger one as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(4 * cores) if size < EVEN * cores else df
 
 
 def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +329,7 @@ _SQUEEZED = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
 
 @query("verbatim_overlap", f"SELECT doc_id FROM documents WHERE {_SQUEEZED.format('text')} IN (SELECT k FROM (SELECT {_SQUEEZED.format('text')} AS k FROM benchmark UNION ALL SELECT {_SQUEEZED.format('text')} FROM conversations UNION ALL SELECT {_SQUEEZED.format('text')} FROM documents WHERE lang = 'de' AND n_chars < 400) WHERE length(k) >= 20)")
 def verbatim_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = docs(spark, sf_dir).where("lang = 'de' and n_chars < 400").select(F.concat(F.lit(" \t"), F.upper("text"), F.lit("\n")).alias("text"))
+    short = docs(spark, sf_dir).where("lang = 'de' and n_chars < 400").select(F.concat(F.lit(" \t"), F.col("text"), F.lit("\n")).alias("text"))
     other = table(spark, sf_dir, "benchmark").select("text").union(table(spark, sf_dir, "conversations").select("text")).union(short)
     return metrics.verbatim_overlap(docs(spark, sf_dir), other).select("doc_id")
 

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__
 from foliant.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("SQL_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")

@@ -20,7 +20,7 @@ def test_router(spark):
         "": ("Task", "GeneralTask"),
     }
     df = spark.createDataFrame([(t,) for t in cases], "text string")
-    for r in router.routed(df).withColumn("g", router.is_guideline(F.col("text"))).collect():
+    for r in router.with_is_guideline(router.routed(df), F.col("text"), "g").collect():
         kind, task = cases[r.text]
         assert r.content_kind == kind and (task is None or r.prompt_type == task) and r.g == (kind == "Guideline")
     lang = df.sparkSession.createDataFrame([("der und die nicht",), ("the you of",), ("xyz",)], "t string").select("t", router.language(F.col("t")).alias("l"))
@@ -101,7 +101,7 @@ def test_sources(spark, tmp_path):
     rows = {r.file_name: r for r in files.scan(spark, str(tmp_path)).collect()}
     assert sorted(rows) == ["a.md", "b.TXT", "c.md", "d.md"]
     a = rows["a.md"]
-    assert (a.title, a.category, a.tags, a.version, a.content, a.id) == ("Ä title", "team", ["x", "y"], "2.0", "Body\n", str(uuid.uuid5(uuid.NAMESPACE_URL, a.file_path)))
+    assert (a.title, a.category, a.tags, a.version, a.content, a.id) == ("Ä title", "team", ["x", "y"], "2", "Body\n", str(uuid.uuid5(uuid.NAMESPACE_URL, a.file_path)))
     assert rows["b.TXT"].title == "b" and rows["c.md"].content.startswith("---") and rows["d.md"].raw_frontmatter == '{"_raw": "just words"}'
     text = "# A\n```py\n# no\n```\n## B\n```\nopen"
     m = spark.createDataFrame([(text,)], "t string").select(files.markdown_structure(F.col("t")).alias("m")).first().m
