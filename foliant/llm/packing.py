@@ -269,18 +269,33 @@ def best_fit(counts: np.ndarray, width: int, steps: int) -> list[Pattern]:
     return out
 
 
-def bin_completion(counts: np.ndarray, nodes: int = 3000, width: int = 6, steps: int = 200, per_length: int = 8, exact: bool = False) -> list[Pattern]:
-    """Branch and bound over the histogram. The incumbent is the better of two best-fit packings; a branch ends once its waste
-    exceeds what a packing with one bin less could have. A dive to a leaf takes at most a node for each distinct length; after `per_length`
-    times as many, and `nodes` at least, the incumbent stands: a whole packing in any case. exact: no such limits, all undominated
-    fillings of one bin after another, until no packing can have fewer bins; that may take a time exponential in the number of pieces."""
-    capacity = len(counts) - 1
-    nodes = -1 if exact else max(nodes, per_length * int((counts > 0).sum()))
-    total = int((counts * np.arange(capacity + 1)).sum())
+def bin_completion(counts: np.ndarray, nodes: int = 3000, width: int = 6, steps: int = 200, per_length: int = 8, exact: bool = False, most_nodes: int = 200_000) -> list[Pattern]:
+    """Branch and bound over the histogram, again and again with wider limits while the packing has more bins than the lower bound.
+
+    A search has `width` fillings, found in `steps` steps, beside each largest piece, and ends after `nodes` nodes, or `per_length` for each distinct length
+    if that is more; the next has four times the nodes and twice the others, until most_nodes have been tried in all. The best packing stands: a whole one
+    in any case. exact: one search without such limits, over all undominated fillings of one bin after another, until no packing can have fewer bins; that
+    may take a time exponential in the number of pieces."""
     bins = lambda packing: sum(n for _, n in packing)
-    low, best = lower_bound(counts), best_fit(counts, 1, 1)
+    low = lower_bound(counts)
+    best = best_fit(counts, 1, 1)
     if bins(best) > low:
         best = min(best, best_fit(counts, width, steps), key=bins)
+    if exact:
+        return bounded_search(counts, best, low, -1, width, steps, exact=True)
+    nodes, tried = max(nodes, per_length * int((counts > 0).sum())), 0
+    while bins(best) > low and tried < most_nodes:
+        best = bounded_search(counts, best, low, nodes, width, steps)
+        tried, nodes, width, steps = tried + nodes, min(4 * nodes, max(most_nodes - tried - nodes, 1)), 2 * width, 2 * steps
+    return best
+
+
+def bounded_search(counts: np.ndarray, best: list[Pattern], low: int, nodes: int, width: int, steps: int, exact: bool = False) -> list[Pattern]:
+    """The incumbent or a packing of fewer bins. A branch ends once its waste exceeds what a packing with one bin less than the incumbent could have;
+    a dive to a leaf takes at most a node for each distinct length."""
+    capacity = len(counts) - 1
+    total = int((counts * np.arange(capacity + 1)).sum())
+    bins = lambda packing: sum(n for _, n in packing)
     space = Fillings(counts, width, steps, exact)
     packed: list[Pattern] = []
     waste = [0]

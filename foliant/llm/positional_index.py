@@ -102,14 +102,31 @@ class Windows:
         return start, np.minimum(n[item], self.window), item
 
 
+    @cached_property
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First word and number of words of each different window, and its items: all in a row, and where each window's begin."""
+        start, size, item = self.spans
+        key = np.zeros((len(start), 2), U)
+        for k in range(self.window):
+            term = np.where(k < size, self.terms[np.minimum(start + k, max(len(self.terms) - 1, 0))], U(0)) if len(self.terms) else np.zeros(len(start), U)
+            for j, factor in enumerate((U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))):
+                key[:, j] = (key[:, j] ^ term) * factor ^ (key[:, j] >> U(29))
+        order = np.lexsort((item, key[:, 1], key[:, 0], size))
+        key, size, start, item = key[order], size[order], start[order], item[order]
+        new = np.r_[True, (key[1:] != key[:-1]).any(1) | (size[1:] != size[:-1])] if len(start) else np.zeros(0, bool)
+        kind = np.cumsum(new) - 1
+        once = np.r_[True, (kind[1:] != kind[:-1]) | (item[1:] != item[:-1])] if len(start) else new
+        return start[new], size[new], item[once], np.searchsorted(kind[once], np.arange(new.sum() + 1))
+
+
 def windows_of(items: Sequence[str | None], texts: pa.Array, size: int) -> Windows:
     term, first = term_hashes(texts)
     return Windows(term, first.astype(np.int64), size, list(items))
 
 
 def phrases(seg: Segment, w: Windows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Windows and where they begin, for all exact occurrences within one text; at most about MOST_AT_ONCE candidates at a time."""
-    start, sizes, _ = w.spans
+    """Windows, by their number in w.distinct, and where they begin, for all exact occurrences within one text; at most about MOST_AT_ONCE candidates at a time."""
+    start, sizes = w.distinct[:2]
     if not len(start) or not len(seg.terms):
         return
     number = seg.number(w.terms)
@@ -140,6 +157,8 @@ def phrases(seg: Segment, w: Windows) -> Iterator[tuple[np.ndarray, np.ndarray]]
 
 def merged_spans(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Union of spans as sorted begin, end, begin, end .."""
+    if not len(begin):
+        return np.zeros(0, np.int64)
     order = np.argsort(begin, kind="stable")
     begin, end = begin[order], np.maximum.accumulate(end[order])
     new = np.r_[True, begin[1:] > end[:-1]]
@@ -147,29 +166,33 @@ def merged_spans(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def search(index: DataFrame, w: Windows) -> DataFrame:
-    """A row for each text: its hit spans in words, and the items with occurring windows."""
+    """A row for each text: its hit spans in words, and the items with occurring windows.
+
+    Hits are united as they are found, so that a task never holds more than a part of them, whatever repeats in a text."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        _, sizes, item = w.spans
+        _, sizes, owner, first = w.distinct
         for row in batch.to_pylist():
             seg = Segment(row)
             n = len(seg.doc_ids)
+            # Places are moved on by one for each text before, so that spans of two texts never touch.
+            begin, end, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+            for kind, at in phrases(seg, w):
+                text = seg.text_of(at)
+                both = merged_spans(np.r_[begin, at + text], np.r_[end, at + text + sizes[kind]])
+                begin, end = both[::2], both[1::2]
+                seen = np.unique(np.r_[seen, np.c_[text, kind]], axis=0)
             spans: list[list[int]] = [[] for _ in range(n)]
-            items: list[list[str | None]] = [[] for _ in range(n)]
-            found = list(phrases(seg, w))
-            kind = np.concatenate([x for x, _ in found] or [np.zeros(0, np.int64)])
-            begin = np.concatenate([x for _, x in found] or [np.zeros(0, np.int64)])
-            text = seg.text_of(begin)
-            for t in np.unique(text):
-                mine = text == t
-                b = begin[mine] - seg.firsts[t]
-                spans[t] = merged_spans(b, b + sizes[kind[mine]]).tolist()
-            for t, i in np.unique(np.c_[text, item[kind]], axis=0).tolist():
-                items[t].append(w.items[i])
+            items: list[set[str | None]] = [set() for _ in range(n)]
+            of = np.searchsorted(seg.firsts[:n] + np.arange(n), begin, side="right") - 1
+            for t, b, e in zip(of.tolist(), begin.tolist(), end.tolist(), strict=True):
+                spans[t] += [b - t - int(seg.firsts[t]), e - t - int(seg.firsts[t])]
+            for t, k in seen.tolist():
+                items[t].update(w.items[i] for i in owner[first[k] : first[k + 1]])
             count = np.diff(seg.firsts)
             yield pa.RecordBatch.from_pydict({
                 "segment": [row["segment"]] * n, "place": pa.array(range(n), pa.int32()), "doc_id": pa.array(seg.doc_ids, pa.int64()), "n_words": count,
-                "spans": pa.array(spans, pa.list_(pa.int32())), "items": pa.array([sorted(set(x), key=lambda i: (i is None, i)) for x in items], pa.list_(pa.string())),
+                "spans": pa.array(spans, pa.list_(pa.int32())), "items": pa.array([sorted(x, key=lambda i: (i is None, i)) for x in items], pa.list_(pa.string())),
             })
 
     return by_arrow(index, run, HIT_SCHEMA)
@@ -181,9 +204,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A word is hit if an occurrence of a test window covers it; a window has `window` words, or all words of a shorter item.
     Null or empty texts have no words and no hits; items without words match nothing; items that share an id count once.
     Items without an id are searched too: their windows hit and contaminate, and together they are one item of n_items, as SQL counts, but have no name in items.
-    The benchmark is taken in blocks of about block_bytes of text, each sent to all segments as eight bytes a word, so that its size is no limit."""
+    Repeated rows of the benchmark are one. It is taken in blocks of about block_bytes of text, each sent to all segments as eight bytes a word, so that its size is no limit."""
     index = stored(build_index(docs, id_col, text_col), "positions")
-    tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
+    tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     found = None

@@ -98,3 +98,20 @@ def test_any_tokeniser_gives_its_own_ids(prose, name):
     ids, at = tokens.documents(pa.array(texts))
     for t, a, b in zip(texts, at, at[1:], strict=False):
         assert ids[a:b].tolist() == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+
+
+def test_wider_searches_find_what_the_first_misses():
+    import numpy as np
+
+    from foliant.llm.packing import bin_completion, lower_bound
+
+    counts = np.bincount(np.random.default_rng(1).integers(1000, 2000, 60), minlength=4097)
+    found = bin_completion(counts)
+    assert sum(n for _, n in found) == 23 and lower_bound(counts) <= 23
+    assert sum(n for _, n in bin_completion(counts, most_nodes=3000)) == 24
+    used = np.zeros(4097, int)
+    for pattern, times in found:
+        assert sum(x * n for x, n in pattern.items()) <= 4096
+        for x, n in pattern.items():
+            used[x] += n * times
+    assert (used == counts).all()

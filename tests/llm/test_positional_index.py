@@ -80,3 +80,32 @@ def test_blocks_of_the_benchmark_are_small(prose):
     assert len(pickle.dumps(w)) < 1.5 * sum(map(len, texts))
     start, size, item = w.spans
     assert len(start) == 60 * 991 and set(size) == {10} and list(item[:992]) == [0] * 991 + [1]
+
+
+def test_repeated_words_cost_one_window(spark, table):
+    import time
+
+    docs = [(1, "same " * 20_000), (2, "a b " * 5_000 + "c"), (3, "same other")]
+    bench = spark.createDataFrame([(1, "same " * 2_000), (2, "b a " * 500), (3, "same " * 30), (4, "same " * 9)], "item_id bigint, text string")
+    assert len(windows_of(["x", "y"], pa.array(["same " * 2_000, "b a " * 500]), 10).distinct[0]) == 3
+    index = build_index(table(docs)).collect()
+    begin = time.perf_counter()
+    got = {r[0]: r[1:] for r in contamination(table(docs), bench).select("doc_id", "n_words", "n_hit", "items").collect()}
+    assert time.perf_counter() - begin < 30 and index
+    assert got[1] == (20_000, 20_000, ["1", "3", "4"]) and got[2][:2] == (10_001, 10_000) and got[2][2] == ["2"] and got[3][1] == 0
+
+
+def test_copies_of_a_benchmark_row_are_one(spark, table, prose):
+    docs, items = cases(prose)
+    many = spark.createDataFrame([(i, t) for i, t in items for _ in range(300)], "item_id bigint, text string")
+    once = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = lambda b, **k: sorted((tuple(r) for r in contamination(table(docs), b, **k).select("doc_id", "n_hit", "n_items", "items_sha256").collect()), key=str)
+    assert rows(many) == rows(once) == rows(many, block_bytes=150)
+
+
+def test_hits_at_the_edges_of_texts_stay_apart(spark, table):
+    """Texts of one segment that end and begin with hits."""
+    docs = [(i, "one two three") for i in range(6)]
+    bench = spark.createDataFrame([(1, "one two three"), (2, "three"), (3, "three one")], "item_id bigint, text string")
+    got = contamination(table(docs), bench).select("n_hit", "hit_spans", "items").distinct().collect()
+    assert [tuple(r) for r in got] == [(3, [0, 3], ["1", "2"])]
