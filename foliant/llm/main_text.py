@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from foliant.llm.shared import by_arrow, read, slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-NAMED = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)|[^>])*)(?:>|\Z)", re.S)
+NAMED = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
 PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,14 +37,19 @@ SCOPE = frozenset("ul ol dl table div section article main aside nav header foot
 #: Parts of class, id and role values that features know.
 KEYWORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup paywall "
-    "sidebar side widget related recommended recommendations more popular trending share sharing social comment comments discussion reply replies respond disqus menu nav navigation navbar breadcrumb breadcrumbs pagination pager skip "
+    "sidebar side rail aside right left column latest recent widget related recommended recommendations more popular trending share sharing social comment comments discussion reply replies respond feedback responses reactions disqus menu nav navigation navbar breadcrumb breadcrumbs pagination pager skip "
     "footer foot copyright legal header masthead topbar login search form toolbar tags author byline meta content article post entry story main body text page hentry contentinfo complementary".split()
 )
+#: Endings that say only that an element is a box; what stands before them names it.
+ENDING = re.compile(r"(.{2,}?)(?:box|bar|block|wrap|wrapper|container|area|section|slot|panel|list|inner|outer|holder|unit|form|message|col|column)$")
 #: Parts that make a class a state of a page or a subject of an article, not a name of what the element is.
 STATE = frozenset("open opened closed enabled disabled allowed has with no without is not js on off active fixed sticky category categories tagged tag format status type".split())
 #: Parts that name an article element; another's class words say nothing about it, and a main element's nothing about what is around it.
 OF_ARTICLE = frozenset("comment comments reply replies respond content article post entry story main body text page hentry".split())
 LEGAL = re.compile(r"(?i)[^\w©(]*(?:©|\(c\)\s*\d{4}|copyright\s*(?:©|\(c\)|by\b|[-:]?\s*\d{4})|all rights reserved|alle rechte vorbehalten)")
+#: A heading of nothing but this stands over what readers wrote.
+REPLIES = re.compile(r"(?i)\W*(?:\d+\s+)?(?:(?:reader|user|leser)\W?)?(?:comments?|replies|responses|discussion|kommentare?|commentaires?|comentarios?)\s*(?:\(\d+\))?\W*\Z")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FEATURE_TAGS = frozenset("nav header footer aside form article main section p li a h1 h2 h3 h4 h5 h6 table blockquote pre code figure figcaption dl label legend fieldset small menu dialog search summary address".split())
 
 
@@ -74,6 +79,7 @@ def named(name: str, attributes: str) -> set[str]:
     for m in NAMED.finditer(attributes):
         for value in (m[1] or m[2] or m[3] or "").split():
             parts = {x.lower() for x in PART.findall(value)}
+            parts |= {m[1] for x in parts - KEYWORDS if (m := ENDING.match(x)) and m[1] in KEYWORDS}
             if not parts & STATE or parts <= KEYWORDS:
                 out |= parts & (OF_ARTICLE if name == "article" else KEYWORDS)
     return {"." + x for x in out}
@@ -87,6 +93,15 @@ def element(name: str, attributes: str, around: Element) -> Element:
     return Element(name, inherited | own if own else inherited, around.unseen or name in UNSEEN or bool(re.search(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", attributes)))
 
 
+def sayings(words: str, around: Element) -> frozenset[str]:
+    """Features of a text by what it says, where no article or main element is around it: there, what an author writes is article."""
+    if "article" in around.features or "main" in around.features:
+        return frozenset()
+    if LEGAL.match(words):
+        return frozenset(("~legal",))
+    return frozenset(("~replies",)) if around.name in HEADINGS and REPLIES.match(words) else frozenset()
+
+
 class Open:
     """The open elements, and where in them those of a name are: so a tag costs the same however deep it stands."""
 
@@ -123,7 +138,7 @@ def tokens(page: str) -> Iterator[Token]:
         around = now.stack[-1]
         if b > a and not around.unseen:
             words = html.unescape(page[a:b])
-            yield Token(words, around.features | {"~legal"} if LEGAL.match(words) else around.features, n_words=len(words.split()))
+            yield Token(words, around.features | sayings(words, around), n_words=len(words.split()))
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -213,13 +228,13 @@ def extracted(row: list[Token], weights: Weights) -> str:
 
 FRAME = {
     "nav": ['<nav><ul>{links}</ul></nav>', '<div class="navbar menu">{links}</div>', '<div id="nav">{links}</div>', '<header><div class="logo">{w}</div>{links}</header>', '<div class="breadcrumbs">{links}</div>', '<header id="masthead">{w}</header>', '<div role="navigation">{links}</div>', '<div id="header">{w}{links}</div>', "<menu>{links}</menu>"],
-    "noise": ['<div class="ad">{w}</div>', '<div class="advertisement">{w}</div>', '<aside class="sidebar">{p}{links}</aside>', '<aside>{p}</aside>', '<div id="sidebar">{p}{links}</div>', '<div class="cookie-notice">{p}</div>', '<div id="cookie-consent"><p>{w}</p></div>', '<form><label>{w}</label><input></form>', '<div class="newsletter signup"><form><p>{w}</p></form></div>', '<div class="sponsored promo">{p}</div>', '<div class="widget related">{links}</div>', '<div class="social share">{links}</div>', '<div class="banner ads">{w}</div>', '<div class="notice">{w}</div>', '<div class="alert popup">{w}</div>', '<div class="modal overlay">{p}</div>', '<div class="paywall subscribe">{w}</div>', '<div class="popular trending more">{links}</div>', '<div class="notification">{w}</div>', '<dialog>{w}</dialog>', '<div class="recommended recommendations">{links}</div>', '<div class="gdpr">{p}</div>', '<div class="advert">{p}</div>', '<div class="side">{p}</div>', '<div class="promotion sponsor">{p}</div>', '<div class="notices">{p}</div>', '<div class="adverts advertising">{p}</div>'],
+    "noise": ['<div class="ad">{w}</div>', '<div class="advertisement">{w}</div>', '<aside class="sidebar">{p}{links}</aside>', '<aside>{p}</aside>', '<div id="sidebar">{p}{links}</div>', '<div class="cookie-notice">{p}</div>', '<div id="cookie-consent"><p>{w}</p></div>', '<form><label>{w}</label><input></form>', '<div class="newsletter signup"><form><p>{w}</p></form></div>', '<div class="sponsored promo">{p}</div>', '<div class="widget related">{links}</div>', '<div class="social share">{links}</div>', '<div class="banner ads">{w}</div>', '<div class="notice">{w}</div>', '<div class="alert popup">{w}</div>', '<div class="modal overlay">{p}</div>', '<div class="paywall subscribe">{w}</div>', '<div class="popular trending more">{links}</div>', '<div class="notification">{w}</div>', '<dialog>{w}</dialog>', '<div class="recommended recommendations">{links}</div>', '<div class="gdpr">{p}</div>', '<div class="advert">{p}</div>', '<div class="side">{p}</div>', '<div class="promotion sponsor">{p}</div>', '<div class="notices">{p}</div>', '<div class="adverts advertising">{p}</div>', '<div class="newsletter">{w}</div>', '<div class="newsletter"><p>{w}</p></div>', '<div class="signup">{w}</div>', '<div class="adbox">{w}</div>', '<div class="ads">{p}</div>', '<div class="cookiebar">{w}</div>', '<div class="cookies">{p}</div>', '<div class="consent"><p>{w}</p></div>', '<div class="right column"><h3>{t}</h3>{links}</div>', '<div class="column right"><h2>{t}</h2>{p}</div>', '<div id="rightcol"><h3>{t}</h3>{p}</div>', '<div class="rail"><h4>{t}</h4>{links}</div>', '<div class="latest"><h3>{t}</h3>{links}</div>', '<div class="recent left"><h3>{t}</h3>{links}{w}</div>', '<div class="related"><p>{w}</p></div>', '<div class="sponsor">{w}</div>', '<div class="promo">{w}</div>', '<div class="subscribe">{w}</div>', '<div class="share">{links}</div>'],
     "legal": ['<div>© 2020 {w}</div>', '<p>Copyright 2021 {w}</p>', '<div class="site-info">All rights reserved. {w}</div>', '<section><p>(c) 2019 {w}</p></section>'],
     "advert": ['<div class="ad">{long}</div>', '<aside class="promo"><p>{long}</p></aside>', '<div class="advertisement sponsored"><p>{long}</p></div>'],
-    "tail": ['<footer>{w}</footer>', '<div id="footer">{w}{links}</div>', '<div class="copyright legal">{w}</div>', '<section class="comments"><h3>{t}</h3>{p}{p}{p}</section>', '<div id="comments" class="discussion">{p}{p}</div>', '<div class="comment"><p>{w}</p></div>', '<div class="respond reply"><form>{w}</form></div>', '<footer><p>{w}</p><p>{w}</p></footer>', '<div id="disqus">{p}</div>', '<div class="pagination">{links}</div>', '<ol class="comment-list replies"><li>{p}</li><li>{p}</li></ol>'],
+    "tail": ['<footer>{w}</footer>', '<div id="footer">{w}{links}</div>', '<div class="copyright legal">{w}</div>', '<section class="comments"><h3>{t}</h3>{p}{p}{p}</section>', '<div id="comments" class="discussion">{p}{p}</div>', '<div class="comment"><p>{w}</p></div>', '<div class="respond reply"><form>{w}</form></div>', '<footer><p>{w}</p><p>{w}</p></footer>', '<div id="disqus">{p}</div>', '<div class="pagination">{links}</div>', '<ol class="comment-list replies"><li>{p}</li><li>{p}</li></ol>', '<div class="feedback"><p>{w}</p>{p}</div>', '<h2>Comments</h2><article class="comment">{p}</article>', '<h3>12 Comments</h3><div class="comment">{p}</div>', '<h3>Responses</h3><div class="responses">{p}{p}</div>', '<section class="feedback"><h3>Discussion</h3>{p}</section>', '<div class="reactions">{p}</div>'],
     "body": ['<article>{mark}</article>', '<article>{mark}</article>', '<main>{mark}</main>', '<div class="content">{mark}</div>', '<div id="content">{mark}</div>', '<div class="post entry">{mark}</div>', '<article class="story"><header>{head}</header>{mark}</article>', '<main><article>{mark}</article></main>', '<section class="article-body">{mark}</section>', '<div id="main"><div class="text">{mark}</div></div>', '<section>{mark}</section>', '<div class="article-content">{mark}</div>', '<div class="page">{mark}</div>', "{mark}"],
 }
-PARAGRAPH = ["<p>{w}</p>"] * 6 + ["<p>{w}<br>{w}</p>", "<h2>{t}</h2><p>{w}</p>", "<ul><li>{w}</li><li>{w}</li></ul>", "<blockquote><p>{w}</p></blockquote>", '<p>{w} <a href="/x">{t}</a> {w}</p>', "<pre>{w}</pre>", "<table><tr><td>{w}</td><td>{w}</td></tr></table>", "<figure><figcaption>{w}</figcaption></figure>", "<div>{w}</div>", "<p><b>{w}</b></p>"]
+PARAGRAPH = ["<p>{w}</p>"] * 6 + ["<p>{w}<br>{w}</p>", "<h2>{t}</h2><p>{w}</p>", "<ul><li>{w}</li><li>{w}</li></ul>", "<blockquote><p>{w}</p></blockquote>", '<p>{w} <a href="/x">{t}</a> {w}</p>', "<pre>{w}</pre>", "<table><tr><td>{w}</td><td>{w}</td></tr></table>", "<figure><figcaption>{w}</figcaption></figure>", "<div>{w}</div>", "<p><b>{w}</b></p>", "<p>© 2019 {w}</p>", "<p>All rights reserved {w}</p>", "<h2>Copyright 2021 {t}</h2><p>{w}</p>"]
 MARK = "\x02{}\x03"
 
 

@@ -23,6 +23,15 @@ T = "one two three four five six seven eight nine ten"
     (f"<article>{P}{P}</article><div class='x1'><p>Copyright 2020 some company of some place and all its friends</p></div>", f"{T}\n\n{T}"),
     (f"<article>{P}<p>Copyright law protects works that people write, draw, sing or build.</p></article>", f"{T}\n\nCopyright law protects works that people write, draw, sing or build."),
     (f"<article>{P}</article><article class='comment'>{P}</article><ol class='comment-list'><li><article class='comment-body'>{P}</article></li></ol>", T),
+    (f"<article>{P}<p>All rights reserved.</p></article><footer>All rights reserved.</footer>", f"{T}\n\nAll rights reserved."),
+    (f"<article><h1>Copyright 2024 reform explained</h1>{P}<p>Copyright by law is a right that ends.</p>{P}</article>", f"Copyright 2024 reform explained\n\n{T}\n\nCopyright by law is a right that ends.\n\n{T}"),
+    (f"<main>{P}<p>All rights reserved seats were sold out on the first day of May.</p></main>", f"{T}\n\nAll rights reserved seats were sold out on the first day of May."),
+    ("<article><p>(c) 2020 was the name of a band that nobody knew then</p></article>", "(c) 2020 was the name of a band that nobody knew then"),
+    (f"<article><p class=it's>{T}</p>{P}</article>", f"{T}\n\n{T}"), (f"<article><p title='a > b' data-x=a\"b>{T}</p></article>", T), (f"<article><p title=\"never ends>{T}</p></article>{P}", ""),
+    (f"<article>{P}{P}<div class='newsletter'>Sign up for our weekly letter</div>{P}</article>", f"{T}\n\n{T}\n\n{T}"), (f"<article>{P}<div class='adbox'>Buy one and get two of them</div>{P}</article>", f"{T}\n\n{T}"),
+    (f"<div class='cookiebar'>We use cookies on this site of ours</div><article>{P}{P}</article>", f"{T}\n\n{T}"), (f"<article>{P}{P}</article><div class='feedback'>{P}</div>", f"{T}\n\n{T}"),
+    (f"<div class='content'>{P}{P}</div><div class='right column'><h3>Latest</h3><ul><li><a href='/'>one two</a></li></ul></div>", f"{T}\n\n{T}"),
+    (f"<article>{P}{P}</article><section><h2>Comments</h2><article class='comment'>{P}</article></section>", f"{T}\n\n{T}"), (f"<article>{P}<h2>Comments</h2>{P}</article>", f"{T}\n\nComments\n\n{T}"),
     ("<article>a < b and 5 > 3 one two three four five six seven</article>", "a < b and 5 > 3 one two three four five six seven"),
 ])
 def test_pages(page, text):
@@ -65,3 +74,21 @@ def test_best_region_equals_brute_force():
             want = max((value(a, b) for a in up for b in up if a <= b), default=0.0)
             assert (value(begin, end - 1) if end else 0.0) == pytest.approx(want)
             assert not end or (begin in up and end - 1 in up)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_tables_give_their_article_elements(spark, sf):
+    """The tables' pages have one article element each, with its own headers and adverts; what main_texts() gives is its text."""
+    import html
+    import re
+
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    got = {r.page_id: r.text for r in main_texts(pages).collect()}
+    plain = lambda x: " ".join(html.unescape(x).split())
+    wrong = []
+    for r in pages.collect():
+        inner = re.search(r"(?s)<article[^>]*>(.*?)</article>", r.html or "")
+        text = re.sub(r"(?s)<(script|style)[^>]*>.*?</\1>|<!--.*?-->", " ", inner[1] if inner else "")
+        if plain(re.sub("<[^>]*>", " ", text)) != plain(got[r.page_id]):
+            wrong.append(r.page_id)
+    assert wrong == []
