@@ -13,7 +13,8 @@ import pyarrow as pa
 
 from foliant.llm.bytewords import ALNUM, LOWER, U, Words, mix, words
 
-WINDOW, STRIDE = 48, 36
+#: Words of a window, and between the starts of windows: in scoring half a window, so that whatever half a window holds lies whole in one; in learning more.
+WINDOW, STRIDE, LEARNED_STRIDE = 48, 24, 36
 WORD_BUCKETS, CHAR_BUCKETS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 13, 12, 10, 8
 BLOCK = 2048
 
@@ -28,13 +29,13 @@ class Inputs:
     word: np.ndarray
     first: np.ndarray
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, first word and size of all windows: each STRIDE words after the one before, the last ending with the text."""
+    def windows(self, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first word and size of all windows: each `stride` words after the one before, the last ending with the text."""
         n = np.diff(self.first)
-        count = np.where(n == 0, 0, np.maximum(-(-(n - WINDOW) // STRIDE), 0) + 1)
+        count = np.where(n == 0, 0, np.maximum(-(-(n - WINDOW) // stride), 0) + 1)
         text = np.repeat(np.arange(len(n)), count)
         k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-        begin = np.minimum(k * STRIDE, np.maximum(n[text] - WINDOW, 0))
+        begin = np.minimum(k * stride, np.maximum(n[text] - WINDOW, 0))
         return text, self.first[text] + begin, np.minimum(n[text], WINDOW)
 
     def grid(self, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,9 +166,9 @@ class Network:
         g["chars"] = np.stack([np.bincount(c["chars"], spread[:, j], CHAR_BUCKETS) for j in range(DIM)], axis=1).astype(np.float32)
         return g
 
-    def window_logits(self, x: Inputs) -> tuple[np.ndarray, np.ndarray]:
+    def window_logits(self, x: Inputs, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
         """Text and logit of all windows."""
-        text, begin, size = x.windows()
+        text, begin, size = x.windows(stride)
         vectors = self.word_vectors(x)
         out = np.empty(len(text), np.float32)
         for a in range(0, len(text), BLOCK):
@@ -225,7 +226,7 @@ def fit(texts: pa.Array | pa.ChunkedArray, label: np.ndarray, prior: float, roun
     net.empty = min(max(prior, 0.0), 0.49)
     label = np.asarray(label, np.float64)
     x = inputs(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
-    text, begin, size = x.windows()
+    text, begin, size = x.windows(LEARNED_STRIDE)
     if not len(text) or label.min() == label.max():
         net.p["out"][:] = 0
         net.shift = float(np.log((net.empty + 1e-3) / (1 - net.empty)))
@@ -246,7 +247,7 @@ def fit(texts: pa.Array | pa.ChunkedArray, label: np.ndarray, prior: float, roun
     count = np.bincount(text, minlength=len(label))
     for r in range(rounds):
         if r:
-            _, logit = net.window_logits(x)
+            _, logit = net.window_logits(x, LEARNED_STRIDE)
         order = np.lexsort((-logit, text))
         has = np.flatnonzero(count)
         worst = order[at[has]]
@@ -270,7 +271,7 @@ def fit(texts: pa.Array | pa.ChunkedArray, label: np.ndarray, prior: float, roun
                     m += 0.1 * (g[k] - m)
                     s += 0.001 * (g[k] ** 2 - s)
                     v -= (lr * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
-    _, logit = net.window_logits(x)
+    _, logit = net.window_logits(x, LEARNED_STRIDE)
     worst = np.full(len(label), -np.inf)
     np.maximum.at(worst, text, logit)
     calibrate(net, worst[count > 0], label[count > 0], prior)

@@ -131,3 +131,13 @@ def test_odds_do_not_depend_on_how_many_texts_are_counted_at_once(prose, monkeyp
     monkeypatch.setattr(bigru, "AT_ONCE", 7)
     for a, b in zip(whole, bigru.known_odds(x, n_char, label), strict=True):
         assert all(np.array_equal(p, q) for p, q in zip(a, b, strict=True))
+
+
+def test_half_a_window_lies_whole_in_one_at_every_offset():
+    from foliant.llm.bigru import STRIDE, WINDOW, inputs
+
+    for n in (30, 60, 97, 150):
+        _, begin, size = inputs(pa.array([" ".join(f"w{i}" for i in range(n))])).windows()
+        for at in range(n - STRIDE):
+            assert any(b <= at and at + STRIDE + 1 <= b + s for b, s in zip(begin, size, strict=True)), (n, at)
+        assert size.max() <= WINDOW
