@@ -67,7 +67,7 @@ def _rewritten(docs: DataFrame, mode: str, text: str, kind: str, judge: Callable
     return df.withColumns({c: F.when(both, F.col(c)) for c in ("score_before", "score_after")})
 
 
-def create(docs: DataFrame, folder: str, title: str) -> str:
+def create(docs: DataFrame | None, folder: str, title: str, tags: Sequence[str] | None = None) -> str:
     """Where a new document would be written; nothing is written."""
     return exports.new_file(title, folder)
 
@@ -86,8 +86,8 @@ def paste_analysis(docs: DataFrame, text: str = "content") -> DataFrame:
     return df.withColumns({"blueprint_score": F.when(like, F.col("blueprint_score")), "content_length": size, "notes": notes})
 
 
-def load_fixture(docs: DataFrame, folder: str, name: str) -> DataFrame:
-    return exports.load_fixture(docs.sparkSession, folder, name)
+def load_fixture(docs: DataFrame | None, folder: str, name: str) -> DataFrame:
+    return exports.load_fixture(docs.sparkSession if docs is not None else SparkSession.active(), folder, name)
 
 
 def compare(docs: DataFrame, pairs: DataFrame, text: str = "content") -> DataFrame:

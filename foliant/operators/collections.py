@@ -78,15 +78,6 @@ def score_buckets(docs: DataFrame, score: str) -> DataFrame:
     return docs.groupBy(label.alias("bucket")).agg(F.count("*").alias("n_docs"))
 
 
-def distribution(docs: DataFrame, value: str) -> DataFrame:
-    """Least, largest, mean and exact percentiles."""
-    share = lambda p: F.percentile(value, p)
-    return docs.agg(
-        F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("largest"), F.avg(value).alias("mean"),
-        share(0.5).alias("median"), share(0.1).alias("p10"), share(0.25).alias("p25"), share(0.75).alias("p75"), share(0.9).alias("p90"),
-    )
-
-
 def duplicate_groups(docs: DataFrame, doc_id: str, text: str, near: bool = False) -> DataFrame:
     """Groups of two documents or more with equal texts: a digest, the first id and the size. near: but for case and white space."""
     key = F.sha2(F.lower(squeeze(F.col(text))) if near else F.col(text), 256)

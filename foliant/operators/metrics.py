@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.spans import with_all_spans
 from foliant.functions.text import alternation, band, line_of, squeeze
+from foliant.operators import distribution
 
 BANDS = ("BROKEN", "POOR", "FAIR", "GOOD", "EXCELLENT")
 
@@ -35,10 +36,11 @@ def agreement(df: DataFrame, score: str = "score", gold: str = "gold") -> DataFr
     """One row: n, mean and median absolute error, exact and within-one bands, false high and low shares, and Spearman's correlation (0 for constants)."""
     error = F.abs(F.col(score) - F.col(gold))
     ours, theirs = band(F.col(score)), band(F.col(gold))
+    median = distribution.percentiles(df.select(error.alias("e")), "e", [0.5])[0]
     ranked = average_rank(average_rank(df.select(score, gold), score, "_a"), gold, "_b")
     share = lambda of, which: F.coalesce(F.count_if(of & which) / F.nullif(F.count_if(of), F.lit(0)), F.lit(0.0))
     return ranked.agg(
-        F.count("*").alias("n"), F.avg(error).alias("mae"), F.percentile(error, 0.5).alias("median_ae"), F.avg((ours == theirs).cast("int")).alias("exact_band"),
+        F.count("*").alias("n"), F.avg(error).alias("mae"), F.lit(median).cast("double").alias("median_ae"), F.avg((ours == theirs).cast("int")).alias("exact_band"),
         F.avg((F.abs(band_rank(ours) - band_rank(theirs)) <= 1).cast("int")).alias("within_one_band"), share(theirs.isin("POOR", "BROKEN"), F.col(score) >= 70).alias("false_high"),
         share(theirs.isin("GOOD", "EXCELLENT"), F.col(score) < 40).alias("false_low"), F.coalesce(F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")), F.lit(0.0)).alias("spearman"),
     )

@@ -63,25 +63,24 @@ def nearest(vectors: DataFrame, query: Sequence[float] | Column, k: int = 10, ve
     return vectors.select(key, F.round(cosine(F.col(vector), q), 3).alias("score")).orderBy(F.desc("score"), key).limit(max(1, min(k, 50)))
 
 
-def postings(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """term, key, how often the document has it, and the document's length in tokens, over all fields."""
-    words = F.concat(*(tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields))
-    return docs.select(key, words.alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-
+def search(docs: DataFrame, query: str, key: str = "doc_id", fields: Sequence[str] = ("text",), limit: int = 500) -> DataFrame:
+    """key and rank of documents with a word beginning with each of the query's words, ranked by BM25 over all fields; ties by key. A blank query returns all, with rank 0.
 
-def search(docs: DataFrame, index: DataFrame, query: str, key: str = "doc_id", limit: int = 500) -> DataFrame:
-    """Documents with a word beginning with each of the query's words, ranked by BM25; ties by key. A blank query returns all, with rank 0."""
-    prefixes = query.split()
+    For a single search: texts are read and their words counted inside the row, and only numbers are added up. search_index keeps postings for many."""
+    prefixes = query.lower().split()
     if not prefixes:
         return docs.select(key, F.lit(0.0).alias("rank"))
-    totals = index.select(key, "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    each = F.explode(F.filter(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p.lower()).alias("p")) for i, p in enumerate(prefixes))), lambda x: F.startswith(F.col("term"), x["p"])))
-    hits = index.where(F.exists(F.array(*(F.lit(p.lower()) for p in prefixes)), lambda p: F.startswith(F.col("term"), p))).select("*", each.alias("x")).groupBy("x.i", key).agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
-    df = hits.groupBy("i").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.join(F.broadcast(df), "i").crossJoin(F.broadcast(totals)).groupBy(key).agg(F.sum(part).alias("rank"), F.count("*").alias("matched"))  # df and totals: a row for each query word, and one
-    return scored.where(F.col("matched") == len(prefixes)).select(key, "rank").orderBy(F.desc("rank"), key).limit(limit)
+    words = F.concat(*(tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields))
+    low = F.lower(F.concat_ws(" ", *fields))
+    hit = lambda p: F.when(F.contains(low, F.lit(p)), F.size(F.filter("_w", lambda t: F.startswith(t, F.lit(p))))).otherwise(0)
+    counted = docs.withColumn("_w", words).select(key, F.size("_w").alias("_length"), *(hit(p).alias(f"_tf{i}") for i, p in enumerate(prefixes)))
+    totals = counted.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(prefixes))))
+    rank = F.lit(0.0)
+    for i in range(len(prefixes)):
+        tf, df = F.col(f"_tf{i}"), F.col(f"_df{i}")
+        rank = rank + F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_length") / F.col("_mean")))
+    every = F.least(*(F.col(f"_tf{i}") for i in range(len(prefixes))), F.lit(1)) > 0
+    return counted.where(every).crossJoin(F.broadcast(totals)).select(key, rank.alias("rank")).orderBy(F.desc("rank"), key).limit(limit)  # totals: one row
 
 
 def content_hash(content: Column, updated_at: Column) -> Column:

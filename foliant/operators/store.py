@@ -65,8 +65,10 @@ def with_hygiene(docs: DataFrame, hygiene: DataFrame, key: str = "id") -> DataFr
 
 
 def with_metadata(hits: DataFrame, docs: DataFrame, key: str = "id", columns: Sequence[str] = ("title", "category")) -> DataFrame:
-    """Search hits (at most the k of a search) with columns of their documents, never their texts; hits without a document are dropped."""
-    return docs.select(key, *columns).join(F.broadcast(hits), key)
+    """Search hits with columns of their documents, never their texts; hits without a document are dropped.
+
+    Which side is sent to all tasks, if any, is left to Spark, which knows a search's limit and measures the rest."""
+    return docs.select(key, *columns).join(hits, key)
 
 
 def vectors_by_model(vectors: DataFrame, model: str = "model") -> DataFrame:

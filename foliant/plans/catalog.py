@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import collections as C
-from foliant.operators import constraints, hygiene, metrics, redaction, retrieval, rewrite, router
+from foliant.operators import constraints, distribution, hygiene, metrics, redaction, retrieval, rewrite, router
 from foliant.sources import exports, files
 from foliant.streaming import watch
 
@@ -198,7 +198,7 @@ _QUANTILES = {"median": 0.5, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9}
 
 @query("length_distribution", f"SELECT count(n_chars) AS n, min(n_chars) AS least, max(n_chars) AS largest, round(avg(n_chars), 6) AS mean, {', '.join(f'round(quantile_cont(n_chars, {q}), 6) AS {n}' for n, q in _QUANTILES.items())} FROM documents")
 def length_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = C.distribution(docs(spark, sf_dir), "n_chars")
+    df = distribution.summary(docs(spark, sf_dir), "n_chars")
     return df.withColumns({c: F.round(c, 6) for c in ("mean", *_QUANTILES)})
 
 
@@ -278,8 +278,7 @@ SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf +
 FROM hits JOIN df USING (p) JOIN size USING (doc_id), total GROUP BY doc_id HAVING count(*) = 2 ORDER BY rank DESC, doc_id LIMIT 500
 """)
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = docs(spark, sf_dir)
-    return retrieval.search(df, retrieval.postings(df, "doc_id", ("text",)), "thin erin").withColumn("rank", F.round("rank", 6))
+    return retrieval.search(spread(docs(spark, sf_dir).select("doc_id", "text")), "thin erin").withColumn("rank", F.round("rank", 6))
 
 
 @query("incremental_reindex", """
@@ -455,4 +454,4 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.snapshot_changes(before, after)
 
 
-from foliant.plans import prompts  # noqa: E402, F401  (its queries are added to these)
+from foliant.plans import ingest, prompts  # noqa: E402, F401  (their queries are added to these)

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Periods that are looked at together.
+BLOCK = 4096
 KINDS = {"create": "added", "modify": "modified", "remove": "removed"}
 
 
@@ -50,25 +52,44 @@ def debounced(events: DataFrame, key: str = "path", at: str = "ts", quiet_ms: in
     return rows.groupBy("key").applyInPandasWithState(run, "key string, at timestamp", "last bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def quiet_groups(events: DataFrame, quiet_ms: int) -> DataFrame:
+    """events (key, at_ms) with part, the begin of the run of busy periods that an event belongs to, in periods of quiet_ms.
+
+    Between two events with an empty period between them there is more than quiet_ms, so that debouncing starts afresh, and the runs of a key are groups of
+    their own. A run begins where no event is in the period before, which is a join by key and period. Periods are counted before they are shuffled,
+    and looked at in blocks, so that no task has all periods of a key."""
+    period = F.floor(F.col("at_ms") / quiet_ms).cast("bigint")
+    busy = events.select("key", period.alias("period")).distinct()
+    earlier = busy.select(F.col("key").alias("_key"), (F.col("period") + 1).alias("_period"))
+    begins = busy.join(earlier, F.col("key").eqNullSafe(F.col("_key")) & (F.col("period") == F.col("_period")), "left").select("key", "period", F.when(F.col("_period").isNull(), F.col("period")).alias("begin"))
+    begins = begins.withColumn("block", F.floor(F.col("period") / BLOCK).cast("bigint"))
+    blocks = begins.groupBy("key", "block").agg(F.max("begin").alias("last"))
+    before = F.max("last").over(Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select(F.struct("key", "block").alias("_b"), before.alias("before"))
+    inside = F.max("begin").over(Window.partitionBy("_b").orderBy("period").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = begins.withColumn("_b", F.struct("key", "block")).join(blocks, "_b").select(F.struct("key", "period").alias("_at"), F.coalesce(inside, "before").alias("part"))
+    return events.withColumn("_at", F.struct("key", period.alias("period"))).join(placed, "_at").drop("_at")
+
+
 def debounced_batch(events: DataFrame, key: str, at: str, quiet_ms: int = 500) -> DataFrame:
     """As debounced(), for a table: key and at_ms. Null times are left out.
 
-    Keys are dealt and sorted by Spark, which spills, and each task reads its rows once, holding one key and one time; a key's events depend on each
-    other in their order, so that a key is one task's work."""
+    The runs of quiet_groups() are dealt and sorted by Spark, which spills; a task reads its rows once, holding one run's key and one time. Events of one run
+    depend on each other in their order, and so are one task's work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = last = None
         for batch in batches:
-            keys, times = batch.column("key").to_pylist(), batch.column("at_ms").to_pylist()
+            keys, parts, times = (batch.column(c).to_pylist() for c in ("key", "part", "at_ms"))
             kept = []
-            for i, (k, t) in enumerate(zip(keys, times, strict=True)):
-                if last is None or k != now or t - last >= quiet_ms:
+            for i, (k, p, t) in enumerate(zip(keys, parts, times, strict=True)):
+                if last is None or (k, p) != now or t - last >= quiet_ms:
                     kept.append(i)
-                    now, last = k, t
-            yield batch.take(pa.array(kept, pa.int64()))
+                    now, last = (k, p), t
+            yield batch.select(["key", "at_ms"]).take(pa.array(kept, pa.int64()))
 
     rows = events.select(F.col(key).alias("key"), F.unix_millis(F.col(at).cast("timestamp")).alias("at_ms")).where("at_ms is not null")
-    return rows.repartition("key").sortWithinPartitions("key", "at_ms").mapInArrow(run, rows.schema)
+    return quiet_groups(rows, quiet_ms).select("key", "part", "at_ms").repartition("key", "part").sortWithinPartitions("key", "part", "at_ms").mapInArrow(run, rows.schema)
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame, key: str = "path", value: str = "hash") -> DataFrame:

@@ -57,8 +57,7 @@ def test_retrieval(spark):
         assert r.e == pytest.approx(embed(r.text), abs=1e-6)
     vectors = retrieval.embedded(df).withColumnRenamed("doc_id", "vec_id")
     assert [r.vec_id for r in retrieval.nearest(vectors, embed("blue sky"), 2).collect()] == [2, 3]
-    index = retrieval.postings(df, "doc_id", ("text",))
-    assert [r.doc_id for r in retrieval.search(df, index, "red app").collect()] == [3, 1] and retrieval.search(df, index, " ").count() == 5 and retrieval.search(df, index, "red zzz").count() == 0
+    assert [r.doc_id for r in retrieval.search(df, "red app").collect()] == [3, 1] and retrieval.search(df, " ").count() == 5 and retrieval.search(df, "red zzz").count() == 0
     docs = df.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("t").alias("updated_at"), (F.col("doc_id") == 2).alias("is_sensitive"))
     stored = docs.where("id = 1").select("id", retrieval.content_hash(F.col("content"), F.col("updated_at")).alias("content_hash"))
     assert {r.id: r.todo for r in retrieval.to_reindex(docs, stored).collect()} == {1: "skipped_unchanged", 2: "skipped_sensitive", 3: "indexed", 4: "indexed", 5: "indexed"}
