@@ -269,7 +269,7 @@ def best_fit(counts: np.ndarray, width: int, steps: int) -> list[Pattern]:
     return out
 
 
-def bin_completion(counts: np.ndarray, nodes: int = 3000, width: int = 6, steps: int = 200, per_length: int = 8, exact: bool = False, most_nodes: int = 200_000) -> list[Pattern]:
+def bin_completion(counts: np.ndarray, nodes: int = 3000, width: int = 6, steps: int = 200, per_length: int = 8, exact: bool = False, most_nodes: int = 16_000) -> list[Pattern]:
     """Branch and bound over the histogram, again and again with wider limits while the packing has more bins than the lower bound.
 
     A search has `width` fillings, found in `steps` steps, beside each largest piece, and ends after `nodes` nodes, or `per_length` for each distinct length
