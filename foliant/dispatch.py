@@ -155,7 +155,7 @@ class Dispatcher:
             data = ACTIONS[action](docs, **inputs)
         except Exception as error:  # noqa: BLE001  (a failing action is a row in the log, and an error in the result)
             return done("error", str(error))
-        lost = [c for c in contract.gives if not isinstance(data, DataFrame) or c not in data.columns]
+        lost = [c for c in contract.gives if not isinstance(data, DataFrame) or c not in data.columns]  # what gives no columns may be no table
         if lost:
             return done("error", f"Output validation failed: {', '.join(lost)} missing")
         return done("success", data=data)

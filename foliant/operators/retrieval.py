@@ -29,7 +29,7 @@ def token_vectors(tokens_: pa.Array) -> pa.Array:
     for at, n in enumerate(longer):
         h[:n] = (h[:n] ^ data[start[:n] + at]) * np.uint64(0x100000001B3)
     sign = 1.0 - 2.0 * (h >> np.uint64(63)).astype(np.float64)
-    total = np.bincount(row[order] * DIMENSIONS + (h & np.uint64(DIMENSIONS - 1)).astype(np.int64), sign, len(tokens_) * DIMENSIONS).reshape(-1, DIMENSIONS)
+    total = np.bincount(row[order] * DIMENSIONS + (h & np.uint64(DIMENSIONS - 1)).astype(np.int64), sign, len(tokens_) * DIMENSIONS).astype(np.float64).reshape(-1, DIMENSIONS)
     norm = np.sqrt((total * total).sum(axis=1, keepdims=True))
     unit = np.divide(total, norm, out=np.zeros_like(total), where=norm > 0).astype(np.float32)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(tokens_) + 1, dtype=np.int32) * DIMENSIONS), pa.array(unit.ravel()))
