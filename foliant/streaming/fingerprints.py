@@ -56,6 +56,6 @@ class Changed(StatefulProcessor):
 
 def changed(docs: DataFrame, most: int = MOST, shards: int = SHARDS, keep_ms: int = KEEP_MS) -> DataFrame:
     """Of a stream of id, fingerprint and at (timestamp), the rows whose fingerprint isn't the one remembered of their id. At most `most` ids are remembered, dealt to the shards;
-    with one shard they are the ones that came last."""
+    with one shard they are the ones that came last. Forgetting by time needs batches to go on, so that a trigger of what is available now doesn't end: use one of an interval, or of one batch."""
     rows = docs.select(F.col("id").cast("string").alias("id"), "fingerprint", "at").where("id is not null").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     return rows.groupBy("shard").transformWithStateInPandas(Changed(max(1, most // shards), keep_ms), outputStructType=SCHEMA, outputMode="append", timeMode="ProcessingTime")

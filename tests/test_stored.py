@@ -126,7 +126,7 @@ def test_remembered_fingerprints(spark, tmp_path):
 
         def run(most):
             stream = spark.readStream.schema(schema).parquet(str(seen))
-            fingerprints.changed(stream, most=most, shards=1).writeStream.option("checkpointLocation", str(tmp_path / "checkpoint")).format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination(120)
+            fingerprints.changed(stream, most=most, shards=1).writeStream.option("checkpointLocation", str(tmp_path / "checkpoint")).format("parquet").option("path", str(tmp_path / "out")).trigger(once=True).start().awaitTermination(120)
             return spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()
 
         for i, rows in enumerate(steps):
