@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant import storage
 from foliant.functions.text import strip, utf16_length
 from foliant.operators import blueprints, collections, context, hygiene, quality, restructure, store
 from foliant.sources import exports
@@ -33,10 +34,13 @@ def get(docs: DataFrame, value: object) -> DataFrame:
 
 
 def score(docs: DataFrame, text: str = "content") -> DataFrame:
-    """docs with quality_score, hygiene_score, context_score and the combined score."""
-    keep = docs.columns
-    df = quality.evaluated(docs, text).select(*keep, F.col("overall_score").alias("quality_score"))
-    df = hygiene.analyze(df, text).select(*keep, "quality_score", "hygiene_score")
+    """docs with quality_score, hygiene_score, context_score and the combined score.
+
+    What an analysis gives is written before the next begins, as one plan of all three takes minutes to optimise."""
+    keep, spark = docs.columns, docs.sparkSession
+    cut = lambda df: storage.written(df, storage.fresh(spark, "scores"))
+    df = cut(quality.evaluated(docs, text).select(*keep, F.col("overall_score").alias("quality_score")))
+    df = cut(hygiene.analyze(df, text).select(*keep, "quality_score", "hygiene_score"))
     df = context.evaluated(df, text).select(*keep, "quality_score", "hygiene_score", F.col("overall_score").alias("context_score"))
     return df.withColumn("score", store.combined_score(F.col("quality_score"), F.col("hygiene_score"), F.col("context_score")))
 
