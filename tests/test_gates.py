@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import gates
-from foliant.operators import context, features, hygiene, router
+from foliant.operators import blueprints, context, features, hygiene, router
+from foliant.plans import prompts
 
 PATTERNS = {
     **{f"features.{n}": v for n, v in vars(features).items() if n.isupper() and isinstance(v, str)},
@@ -43,3 +44,33 @@ def test_most_expressions_have_words():
     known = [n for n, p in PATTERNS.items() if gates.literals(p)]
     assert len(known) > 0.75 * len(PATTERNS)
     assert context is not None
+
+
+def test_needs_hold_where_expressions_match(spark):
+    """What a gate asks for stands in each match, whatever its white space and letters; texts without it don't pass."""
+    rng = random.Random(5)
+    texts = ["Only\n\n modify it", "only \t CHANGE", "only", "modify only", "Nur Ändern", "nur lesen", "ſcope :", "", " \n", "BUG #  12", "kein refactoring. CI\npipeline", "STAND :2024-01-02", "ü" * 9 + "\n\nnicht\nanfassen"] + list(prompts.PROMPTS)
+    tables = [(context.GATES, {**context.TYPE_SIGNALS, **context.SIGNALS, **context.VAGUE, **context.COUNTS}), (blueprints.GATES, {**blueprints.SIGNALS, **blueprints.COUNTS, **{f"{k}{i}": p for k, (_, ps) in blueprints.TYPES.items() for i, p in enumerate(ps)}})]
+    for p in [p for _, table in tables for p in table.values()]:
+        parts = re.findall(r"\w+|[^\w\s]", re.sub(r"\\[a-zA-Z]|\(\?[a-zA-Z:=!<]*", " ", p)) + [" ", "\n", "12", ": ", "#", "x"]
+        for _ in range(8):
+            t = "".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n ", "\t"]) for _ in range(rng.randrange(1, 9)))
+            texts.append(rng.choice([t, t.upper(), t.title(), t.replace("s", "ſ").replace("i", "İ").replace("k", "K")]))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(4)
+    for own, table in tables:
+        of = lambda p: (own.may(F.col("p"), p), F.col("text").rlike(context.matching(p)))  # noqa: B023, E731
+        wrong = F.array_compact(F.array(*(F.when(of(p)[1] & ~of(p)[0], n) for n, p in table.items())))
+        assert df.withColumn("p", own.passed(gates.folded(F.col("text")))).select("text", wrong.alias("w")).where(F.size("w") > 0).collect() == []
+    few = df.where("i < 6").withColumn("p", context.GATES.passed(gates.folded(F.col("text")))).select("i", context.GATES.may(F.col("p"), context.SIGNALS["tools"])).collect()
+    assert [m for _, m in sorted(few)] == [True, True, False, False, True, True]
+
+
+def test_words_are_found_within_rows_only():
+    import pyarrow as pa
+
+    from foliant.functions.word_search import Words, slices
+
+    words = Words(["ab", "abc d", "#", "über", "c"])
+    found = [words.found(data, offsets).tolist() for data, offsets in slices(pa.array(["xab", "c  \n d", "abc\t\td#", None, "", "ÜBER über", "a", "b"]))]
+    one = lambda *yes: [i in yes for i in range(5)]
+    assert found == [[one(0), one(4), one(0, 1, 2, 4), one(), one(), one(3), one(), one()]]
