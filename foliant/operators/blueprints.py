@@ -10,8 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.gates import Gates, folded
 from foliant.functions.text import alternation, half_up, strip, utf16_length
-from foliant.operators.context import HEADING, by_name, matching, steps, without_code
+from foliant.operators.context import HEADING, by_name, counted, matched, matching, steps, without_code
 
 # Expressions, weights and texts that results depend on. Upper and lower case are equal; ^ and $ are ends of lines, \A is the text's beginning.
 SIGNALS = {
@@ -193,6 +194,10 @@ EMPTY_ADVICE = ("goal_clarity", "Goal Clarity", "Start by defining the blueprint
 LOW_BARE = "Low confidence because: only limited blueprint evidence was detected."
 
 
+#: Of all expressions that run over a whole text.
+GATES = Gates(*SIGNALS.values(), *COUNTS.values(), *(p for _, ps in TYPES.values() for p in ps))
+
+
 def named(groups: dict[str, str]) -> Column:
     """Names of the conditions that hold."""
     return F.array_compact(F.array(*(F.when(F.expr(sql), n) for n, sql in groups.items())))
@@ -216,7 +221,7 @@ def unknown_reasons() -> Column:
 def blueprint_type() -> Column:
     """The kind with most expressions; of these the one of the highest priority, then the first."""
     hybrid = (F.col("content_class") == "PROMPT_BLUEPRINT_HYBRID").cast("int")
-    has = lambda p: F.col("_t").rlike(matching(p)).cast("int")
+    has = lambda p: matched("_t", {"x": p}, GATES)["x"].cast("int")
     scores = F.array(*(F.struct((sum(map(has, ps), F.lit(0)) + (hybrid if k == AGENT else 0)).alias("score"), F.lit(priority).alias("priority"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, (k, (priority, ps)) in enumerate(TYPES.items())))
     best = F.array_max(scores)
     # No expression of a kind means none of the shorter list that would be asked instead either, so that only the generic kind is left.
@@ -226,7 +231,8 @@ def blueprint_type() -> Column:
 def signalled(docs: DataFrame, text: str, known_urls: Sequence[str], stale_names: Sequence[str]) -> DataFrame:
     df = docs.withColumn("_t", strip(F.coalesce(F.col(text), F.lit(""))))
     df = df.withColumns({"n_units": utf16_length(F.col("_t")), "clean_units": utf16_length(without_code(F.col("_t"))), "blank": F.col("_t") == "", "n_all_lines": F.size(F.split("_t", "\n", -1))})
-    df = df.withColumns({n: F.col("_t").rlike(matching(p)) for n, p in SIGNALS.items()} | {n: F.regexp_count("_t", F.lit(matching(p))) for n, p in COUNTS.items()})
+    df = df.withColumn("_passed", GATES.passed(folded(F.col("_t"))))
+    df = df.withColumns(matched("_t", SIGNALS, GATES) | counted("_t", COUNTS, GATES))
     known = lambda u: F.exists(F.array(*map(F.lit, known_urls)).cast("array<string>"), lambda k: F.contains(u, k))
     foreign = F.exists(F.regexp_extract_all("_t", F.lit(URL), F.lit(0)), lambda u: ~known(u))
     stale = F.col("_t").rlike(matching(rf"\b{alternation(stale_names)}\b")) if stale_names else F.lit(False)
