@@ -87,3 +87,10 @@ def test_advice_for_artifacts(spark):
     got = df.select(recommendations.artifact_advice(F.col("a")).alias("x")).first().x
     assert len(got) == 4 and got == sorted(got) and "Datenschutz: Ersetze »a@b.de« durch {EMAIL} um personenbezogene Daten zu schützen." in got
     assert {r.category: r.r for r in spark.createDataFrame(rows, "category string, match string, s string").withColumn("r", recommendations.replacement(F.col("category"))).collect()}["PII"] == "{REDACTED}"
+
+
+def test_negators_side_by_side_count_each(spark):
+    """As in the reference, whose word edges consume nothing: two negators leave the polarity open."""
+    rows = spark.createDataFrame([(1, "Do it, no no cigami"), (2, "Der der nicht nicht"), (3, "Der der nicht")], "i int, text string")
+    found = contradictions.mandates(rows).select("i", F.col("mandates")[0]["polarity"].alias("p")).collect()
+    assert dict(map(tuple, found)) == {1: 0, 2: 0, 3: -1}
