@@ -1,4 +1,5 @@
 import os
+import re
 
 import duckdb
 import pytest
@@ -39,3 +40,12 @@ def test_query_without_sql_runs(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_large_tables_are_dealt_out_too(spark):
+    """A table of 8 GB that is one part becomes parts of some MB, and a small one four parts a core."""
+    def parts(df):
+        return int(re.search(r"Repartition (\d+), true", catalog.spread(df)._jdf.queryExecution().optimizedPlan().toString())[1])
+
+    assert parts(spark.range(0, 10**9, 1, 1)) > 1000
+    assert parts(spark.range(0, 10, 1, 1)) == 4 * spark.sparkContext.defaultParallelism
