@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +47,15 @@ def test_columns(spark):
         R.optimized(F.col("text"), "wild")
     blocks = df.select("id", R.blocks(F.array(F.lit("Zieldefinition fehlt"), F.lit("anders"))).alias("b"), "text").select("id", "b", R.preview(F.coalesce("text", F.lit("")), F.col("b")).alias("p")).where("id = 3").first()
     assert [b.heading for b in blocks.b] == ["## Ziel", "## Ergänzung 2"] and blocks.p.startswith("## Ziel\n\n<!-- Empfehlung: Zieldefinition fehlt -->")
+
+
+def test_batches_are_rewritten_slice_by_slice(spark):
+    """Rows of a batch become Arrow a slice at a time, whatever the batch has; order, nulls and empty batches stay."""
+    texts = pa.array(["x" * (R.SLICE // 4), None, "y", "z" * (3 * R.SLICE)] * 5 + ["", None])
+    parts = [p for (p,) in R.slices(texts)]
+    assert pa.concat_arrays(parts).equals(texts) and len(parts) > 5
+    assert all(len(p) == 1 or sum(len(x or "") for x in p.to_pylist()[:-1]) < R.SLICE for p in parts)
+    assert list(R.slices(texts.slice(0, 0))) == []
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts.to_pylist())], "i int, t string").coalesce(1)
+    got = {r.i: r.o for r in rows.select("i", R.optimized(F.col("t"), "balanced")["optimized"].alias("o")).collect()}
+    assert got == {i: R.rewritten(t, "balanced", R.PROMPT)["optimized"] for i, t in enumerate(texts.to_pylist())}
