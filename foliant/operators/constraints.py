@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.spans import with_all_spans
+from foliant.functions.gates import Gates, folded
+from foliant.functions.spans import spans, summed
 from foliant.functions.text import djb2_hex, each, line_of, plain_rx, strip
 
 # Category, severity, expressions.
@@ -37,24 +38,32 @@ SECURITY = ("offline_only", "approval_required", "scope_boundary")
 RESOLUTIONS = {True: ("keep_constraint", "require_human_approval", "save_as_review"), False: ("keep_constraint", "change_constraint", "save_as_review")}
 
 
+GATES = Gates(*(p for _, _, ps in CONSTRAINTS for p in ps))
+
+
 def with_constraints(docs: DataFrame, text: str = "text", name: str = "constraints") -> DataFrame:
     """docs with an array of constraints in the order of CONSTRAINTS, then of their places: id, category, severity, constraint_text, line and column (in characters).
 
-    The id is a hash of what and where a constraint is. A null text has none."""
+    The id is a hash of what and where a constraint is. A null text has none. Rules are rows of an array, of which those run whose words are in the text: as columns,
+    they would make a plan that takes longer to optimise than a small table to read."""
+    t = F.col("_text")
+    rules = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(plain_rx(p)).alias("pattern"), F.lit(GATES.at.get(p, -1)).alias("gate")) for c, s, ps in CONSTRAINTS for p in ps))
     df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    rules = {f"_c{i}": rule for i, rule in enumerate((c, s, plain_rx(p)) for c, s, ps in CONSTRAINTS for p in ps)}
-    df = with_all_spans(df, "_text", {n: (p, F.col("_text").rlike(p)) for n, (_, _, p) in rules.items()})
+    df = df.withColumn("_passed", GATES.passed(folded(t)))
+    df = df.withColumn("_found", F.filter(rules, lambda r: (r["gate"] < 0) | F.get(F.col("_passed"), r["gate"])))
+    df = df.withColumn("_found", F.filter(F.transform("_found", lambda r: r.withField("hits", F.regexp_extract_all(t, r["pattern"], F.lit(0)))), lambda r: F.size(r["hits"]) > 0))
+    df = df.withColumn("_found", F.transform("_found", lambda r: r.withField("gaps", F.split(t, r["pattern"], -1))))
 
-    def described(n: str, category: str, severity: str) -> Column:
-        before = lambda x: F.substring(F.col("_text"), F.lit(1), x["start"])
+    def described(r: Column) -> Column:
+        before = lambda x: F.substring(t, F.lit(1), x["start"])
         column = lambda x: F.length(F.substring_index(before(x), "\n", -1)) + 1
-        return F.transform(n, lambda x: F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity"), strip(x["hit"]).alias("constraint_text"), line_of(F.col("_text"), x["start"]).alias("line"), column(x).alias("column")))
+        return F.transform(r["spans"], lambda x: F.struct(r["category"].alias("category"), r["severity"].alias("severity"), strip(x["hit"]).alias("constraint_text"), line_of(t, x["start"]).alias("line"), column(x).alias("column")))
 
-    names = list(rules)
-    df = df.withColumns({n: described(n, c, s) for n, (c, s, _) in rules.items()}).withColumn("_text", F.concat(*names))
+    df = df.withColumn("_found", F.transform("_found", lambda r: r.withField("spans", spans(summed(r)))))
+    df = df.withColumn("_found", F.flatten(F.transform("_found", described)))
     key = lambda c: F.concat(F.lit("HC_"), djb2_hex(F.concat_ws(":", c["category"], c["constraint_text"], c["line"].cast("string"), c["column"].cast("string"))))
-    rows = F.transform("_text", lambda c: F.struct(key(c).alias("id"), *(c[f].alias(f) for f in ("category", "severity", "constraint_text", "line", "column"))))
-    return df.withColumn(name, rows).drop("_text", *names)
+    rows = F.transform("_found", lambda c: F.struct(key(c).alias("id"), *(c[f].alias(f) for f in ("category", "severity", "constraint_text", "line", "column"))))
+    return df.withColumn(name, rows).drop("_text", "_passed", "_found")
 
 
 def hard_constraints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

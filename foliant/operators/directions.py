@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.gates import Gates, folded
 from foliant.functions.text import each, plain_rx, strip
 from foliant.operators.constraints import CONSTRAINTS, SECURITY, resolutions, with_constraints
 
@@ -48,6 +49,7 @@ PROFILES = {p.profile_id: p for p in (
 DEFAULTS = ("sachlich", "technisch", "kurz", "ausfuehrlich", "agentisch")
 CUSTOM = "custom"
 CLOUD = (r"cloud", r"online", r"remote\s+(?:server|api|service)", r"\bapi\s+(?:aufruf|call|endpoint|key|token)\b", r"web\s*service", r"\binternet\b", r"\bsaas\b", r"\bhttps?://")
+CLOUD_GATES = Gates(*CLOUD)
 
 
 def custom(text: str) -> Profile:
@@ -125,9 +127,10 @@ def validated(made: DataFrame) -> DataFrame:
     """variants() with what must hold of each: original_unchanged, constraints_preserved, no_cloud_references, constraints_listed and content_different."""
     df = with_constraints(with_constraints(made, "source", "_before"), "content", "_after")
     categories = lambda c: F.transform(c, lambda x: x["category"])
-    cloud = sum((F.col("content").rlike(plain_rx(p)).cast("int") for p in CLOUD), F.lit(0)) > 0
+    df = df.withColumn("_passed", CLOUD_GATES.passed(folded(F.coalesce("content", F.lit("")))))
+    cloud = sum(((CLOUD_GATES.may(F.col("_passed"), p) & F.col("content").rlike(plain_rx(p))).cast("int") for p in CLOUD), F.lit(0)) > 0
     return df.withColumns({
         "original_unchanged": (F.col("source") != F.col("content")) | (F.col("source") == ""), "constraints_preserved": F.size(F.array_except(categories("_before"), categories("_after"))) == 0,
         "no_cloud_references": ~F.array_contains(categories("_before"), "offline_only") | ~cloud,
         "constraints_listed": F.size(F.array_except(F.transform("_before", lambda x: x["id"]), F.transform("preserved", lambda x: x["constraint_id"]))) == 0, "content_different": F.col("source") != F.col("content"),
-    }).drop("_before", "_after")
+    }).drop("_before", "_after", "_passed")

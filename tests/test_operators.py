@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import collections as C
+from foliant.functions.text import plain_rx, strip
 from foliant.operators import constraints, metrics, redaction, retrieval, rewrite, router
 from foliant.sources import files
 from foliant.streaming import watch
@@ -140,3 +141,15 @@ def test_debounced_batch_equals_a_loop(spark):
             want.append((k, ms))
             last[k] = ms
     assert sorted(map(tuple, watch.debounced_batch(df, "k", "t").collect()), key=str) == sorted(want, key=str)
+
+
+def test_constraints_run_by_gate_and_are_one_expression(spark):
+    """Every rule finds the same as its expression alone; the plan has no search for each rule."""
+    texts = ["keine \n cloud nutzen; OFFLINE", "Antwort auf Deutſch, language : english", "do not use docker. No  cloud", "nothing", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = constraints.with_constraints(df)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") < 5
+    alone = lambda c, p: F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(plain_rx(p)), F.lit(0)), lambda h: F.struct(F.lit(c), strip(h)))
+    alone = df.select("doc_id", F.flatten(F.array(*(alone(c, p) for c, _, ps in constraints.CONSTRAINTS for p in ps))).alias("x"))
+    want = {r.doc_id: [tuple(x) for x in r.x] for r in alone.collect()}
+    assert {r.doc_id: [(c.category, c.constraint_text) for c in r.constraints] for r in found.collect()} == want and len(want[0]) == 2 and len(want[1]) == 2
