@@ -74,3 +74,11 @@ def test_words_are_found_within_rows_only():
     found = [words.found(data, offsets).tolist() for data, offsets in slices(pa.array(["xab", "c  \n d", "abc\t\td#", None, "", "ÜBER über", "a", "b"]))]
     one = lambda *yes: [i in yes for i in range(5)]
     assert found == [[one(0), one(4), one(0, 1, 2, 4), one(), one(), one(3), one(), one()]]
+
+
+def test_sentences_are_gated_one_by_one(spark):
+    """As documents are; with white space that is not ASCII where an expression means Unicode."""
+    found = gates.Gates(r"(?i)#\s*goal", ("no", "never"), ascii_blanks=False)
+    rows = spark.createDataFrame([(0, ["#\u00a0GOAL", "nothing", ""]), (1, []), (2, None), (3, ["goal", "#goal never"])], "i int, a array<string>")
+    got = rows.select("i", found.passed_each(F.transform("a", gates.folded)).alias("p")).collect()
+    assert {r.i: r.p for r in got} == {0: [[True, False], [False, True], [False, False]], 1: [], 2: [], 3: [[True, False], [True, True]]}
