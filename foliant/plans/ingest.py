@@ -55,7 +55,7 @@ FROM (SELECT doc_id, text, {_STOPS(router.lex.STOPWORDS_DE)} AS de, {_STOPS(rout
 def rescanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of the documents, whose languages are told; two of them fail when they are looked at."""
     base = storage.fresh(spark, "rescan")
-    arrived = storage.written(docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")), f"{base}/in")
+    arrived = storage.written(spread(docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))), f"{base}/in")
     stream = spark.readStream.schema(arrived.schema).parquet(f"{base}/in")
 
     def analysis(batch: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from foliant import storage
 from foliant.functions.text import strip
@@ -22,6 +23,8 @@ Analysis = Callable[[DataFrame], DataFrame]
 MOST_BYTES = 1 << 20
 #: A dead letter has at most so many characters of a message.
 MESSAGE = 500
+#: A part that fails is written in slices by so many bits of the hash, which are folders; and the name of their column.
+SLICED, SLICE = 4, "__slice"
 DEAD = "path string, reason string, detail string, batch_id bigint"
 
 
@@ -41,25 +44,35 @@ def isolated(docs: DataFrame, analysis: Analysis, key: str = "path", bits: int =
     """Results that could be computed, as tables, and the keys that failed, each with a message.
 
     All documents are tried at once. On failure each half by the next bit of a hash of the key is, so a document that fails costs at most `bits` attempts;
-    keys of one hash fail together. Errors of the plan, which no split can mend, are raised."""
-    hash_ = F.xxhash64(F.col(key))
+    keys of one hash fail together. What failed is written by its next SLICED bits, so that attempts read their own part only and few failures cost
+    a few passes in all, not one for each attempt. Errors of the plan, which no split can mend, are raised."""
+    spark, names = docs.sparkSession, docs.columns
     done: list[DataFrame] = []
     failed: list[tuple[str, str]] = []
-    work = [(0, 0)]
-    spark = docs.sparkSession
+    folders: list[str] = []
+    # Depth and bits of a part, the table that it is in, and the depth of that table's slices.
+    work: list[tuple[int, int, DataFrame, int]] = [(0, 0, docs, 0)]
     while work:
-        depth, value = work.pop()
-        part = docs.where((hash_.bitwiseAND((1 << depth) - 1)) == value) if depth else docs
+        depth, value, table, since = work.pop()
+        part = table.where(F.col(SLICE).bitwiseAND((1 << depth - since) - 1) == value >> since).select(*names) if depth else docs
         plan = analysis(part)
         path = storage.fresh(spark, "isolated")
         try:
             done.append(storage.written(plan, path))
         except PySparkException as error:
             storage.delete(spark, path)
-            if depth == bits or part.select(key).distinct().limit(2).count() < 2:
+            least, most = part.agg(F.min(F.struct(key)), F.max(F.struct(key))).first()
+            if depth == bits or least == most:
                 failed += [(r[0], message_of(error)) for r in part.select(key).distinct().collect()]  # the keys of one hash
-            else:
-                work += [(depth + 1, value), (depth + 1, value | 1 << depth)]
+                continue
+            if depth % SLICED == 0:
+                folders.append(storage.fresh(spark, "slices"))
+                own = F.shiftrightunsigned(F.xxhash64(F.col(key)), depth).bitwiseAND((1 << SLICED) - 1).cast("int")
+                part.withColumn(SLICE, own).write.partitionBy(SLICE).parquet(folders[-1])
+                table, since = spark.read.schema(StructType([*docs.schema, StructField(SLICE, IntegerType())])).parquet(folders[-1]), depth
+            work += [(depth + 1, value, table, since), (depth + 1, value | 1 << depth, table, since)]
+    for folder in folders:
+        storage.delete(spark, folder)
     return done, failed
 
 

@@ -103,6 +103,23 @@ def test_stream_isolates_what_fails_and_repeats_change_nothing(spark, tmp_path):
     assert results()["new.md"] == 2 and letters()["q.md"] == ("failed", 1) and len(results()) == 13
 
 
+def test_few_failures_cost_few_passes(spark):
+    """What one document that fails makes others cost doesn't grow with the attempts that find it."""
+    read, n = spark.sparkContext.accumulator(0), 4000
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, n, 1, 4).select(F.concat(F.lit("p"), "id").alias("path"), F.when(F.col("id").isin(7, 3001), "poison").otherwise("x").alias("content"))
+    done, failed = rescan.isolated(rows.mapInArrow(counted, rows.schema), strict)
+    assert sorted(p for p, _ in failed) == ["p3001", "p7"] and all("bad " in m for _, m in failed)
+    kept = [r.path for df in done for r in df.collect()]
+    assert len(kept) == len(set(kept)) == n - 2
+    assert read.value <= 4 * n
+
+
 def test_errors_of_the_plan_are_raised(spark, tmp_path):
     batch = spark.createDataFrame([("a", b"x")], "path string, content binary")
     with pytest.raises(Exception, match="no_such_column"):
