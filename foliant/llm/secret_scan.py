@@ -38,8 +38,8 @@ STEPS = 50
 REJECTED = int(REJECT * STEPS) + 1
 #: Largest expected share of chance passes among the secrets of a length class.
 FALSE_DISCOVERIES = 0.05
-#: Words of the corpus that decoys are put together from, at most, chosen by hash; and the longest decoy, the least length of the last class.
-WORDS = 2048
+#: Buckets in which the corpus's words are numbered; and the longest decoy, the least length of the last class.
+BUCKETS = 2048
 LONGEST = 256
 
 
@@ -100,18 +100,28 @@ def based(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select("doc_id", base.alias("base"), F.transform("candidate", lambda x: x.dropFields("left", "right")).alias("candidates")).withColumn("uid", F.monotonically_increasing_id())
 
 
+def numbered(words: DataFrame) -> DataFrame:
+    """words with number, from 0 without gaps: within buckets of their hash, and before those the sizes of the buckets before, which are BUCKETS rows at most."""
+    df = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)))
+    before = df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("word"), "word"))
+    return df.withColumn("rank", rank).join(F.broadcast(before), "bucket").select("word", (F.col("before") + F.col("rank") - 1).alias("number"))
+
+
 def made_decoys(strings: DataFrame) -> DataFrame:
     """candidate and length_class of decoys for the classes with too few: for each candidate, 1 / FALSE_DISCOVERIES strings of its length, put together from
-    long words of the corpus. Those above the last class's least length get that length: what is longer passes no oftener."""
+    long words, each drawn by hash from all of the corpus. Those above the last class's least length get that length: what is longer passes no oftener."""
     n = lambda role: F.count_if(F.col("role") == role)
     few = strings.groupBy("length_class").agg(n("candidate").alias("candidates"), n("decoy").alias("decoys")).where(F.col("candidates") > FALSE_DISCOVERIES * F.col("decoys")).select("length_class")
-    by_hash = strings.where("role = 'decoy'").select(F.xxhash64("candidate").alias("h"), F.left("candidate", F.lit(LONGEST)).alias("word"))
-    words = by_hash.groupBy(F.pmod("h", F.lit(WORDS)).alias("bucket")).agg(F.min(F.struct("h", "word"))["word"].alias("word")).agg(F.array_sort(F.collect_list("word")).alias("words")).where(F.size("words") > 0)
-    each = strings.where("role = 'candidate'").join(F.broadcast(few), "length_class").crossJoin(F.broadcast(words))
-    each = each.withColumn("n", F.least(F.length(body(F.col("candidate"))), F.lit(LONGEST))).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(round(1 / FALSE_DISCOVERIES)))))
-    drawn = lambda k, m: F.pmod(F.xxhash64("candidate", "j", k), m).cast("int")
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / LEAST).cast("int") + 1), lambda k: F.get("words", drawn(k, F.size("words")))), "")
-    return each.select("length_class", F.substring(text, drawn(F.lit(-1), F.lit(LEAST)) + 1, F.col("n")).alias("candidate")).distinct()
+    words = strings.where("role = 'decoy'").select(F.col("candidate").alias("word"))
+    total = words.agg(F.count(F.lit(1)).alias("total")).where("total > 0")
+    each = strings.where("role = 'candidate'").join(F.broadcast(few), "length_class").crossJoin(F.broadcast(total))
+    each = each.select("length_class", "total", F.xxhash64("candidate").alias("c"), F.least(F.length(body(F.col("candidate"))), F.lit(LONGEST)).alias("n"))
+    each = each.withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(round(1 / FALSE_DISCOVERIES))))).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / LEAST).cast("int") + 1)))
+    draws = each.withColumn("number", F.pmod(F.xxhash64("c", "j", "k"), F.col("total"))).join(numbered(words).withColumn("word", F.left("word", F.lit(LONGEST))), "number")
+    made = draws.groupBy("length_class", "c", "n", "j").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), "").alias("text"))
+    begin = F.pmod(F.xxhash64("c", "j", F.lit(-1)), F.lit(LEAST)).cast("int") + 1
+    return made.select("length_class", F.substring("text", begin, F.col("n")).alias("candidate")).distinct()
 
 
 def trusted(battery: DataFrame) -> DataFrame:
